@@ -5,18 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm import secrets, toxicity
 from weftline.llm.common import settle
+from weftline.llm.mixing import mix, word_count
 from weftline.llm.near_dedup import near_duplicates
+from weftline.llm.packing import pack_documents
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.train_on(docs, labels))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    kept = near_duplicates(docs, size=5, similarity=80).where("kept").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.id), "left_semi")
+    kept = near_duplicates(docs, size=5, similarity=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark, and n_chars follows; every document stays."""
+    clean = secrets.redact(docs, secrets.train(secrets.labelled_samples(spark)))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: 0 to 3 times.  Of each source's stream only the last can be taken in part."""
+    taken = mix(docs, cap=3).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    taken = taken.groupBy("_id", "_size").agg(F.max("_times").alias("_times"))
+    sized = docs.withColumn("_words", word_count(F.col("text")))
+    found = sized.join(taken, sized.doc_id.eqNullSafe(taken._id) & (sized._words == taken._size))
+    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1,024 tokens."""
+    return pack_documents(docs, capacity=1024)
 
 
-STAGES = [("near_dedup", near_dedup)]
-#: SQL can't express a trained classifier or tokenizer; the pipeline is tested against a brute-force version.
+STAGES = [("toxicity", drop_toxic), ("near_dedup", near_dedup), ("secrets", mask_secrets), ("mixing", mix_sources), ("packing", pack)]
+#: SQL can't express the trained classifier or the tokenizer; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 

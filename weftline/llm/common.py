@@ -32,11 +32,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[0]
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives the loss of executors."""
     spark = df.sparkSession
     path = os.path.join(scratch_dir(spark), f"weftline-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
