@@ -4,8 +4,10 @@
 2. Inverted lists: a value that several classes retain links them.  Two sets with a similarity of 0.8 share most of their
    sketch, so they also share one of the rarest values of each (prefix filtering); only those lists are joined, which
    leaves passages that many documents share out of the joins.
-3. Each list is first linked to its smallest class; then only classes that are not yet in one component are paired.  A
-   large group of near copies so costs a pair for each copy, not for each two.
+3. Each list is first linked to its most central class, the one whose values are the most frequent: of near copies, the
+   text that they were made from.  Then only classes that are not yet in one component are compared: in short lists pair
+   by pair, in long ones by blocks of classes, each pair of blocks in a task that returns no more links than it has
+   classes.  So a large group of near copies makes rows in proportion to its size, and no link is lost.
 4. The sketch of the union estimates each pair; pairs that can't reach the similarity are dropped, the rest are
    confirmed on the full sets, made again from the whole texts.
 """
@@ -26,6 +28,8 @@ from weftline.llm.words import U, Words, lowered, mixed, signed, windows
 SKETCH = 64
 #: With a similarity of 0.8 at least this many of 64 are shared, but for a chance of 6e-8.
 SHARED = 33
+#: Classes of a list up to which it is compared pair by pair, and of a block where it is longer.
+SHORT, BLOCK = 64, 256
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
@@ -78,6 +82,63 @@ def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, simil
     return kept.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, similarity), "a binary, b binary")
 
 
+def _compare(size: int, similarity: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links between classes of different labels, at most one for each that joins two labels."""
+        nodes, labels = table.column("node").to_pylist(), table.column("label").to_pylist()
+        blocks = table.column("block").to_numpy()
+        sets = []
+        for batch in pieces(iter(table.combine_chunks().to_batches())):
+            sets += shingle_sets(*text_buffer(batch.column("text")), size)
+        n = np.array([len(s) for s in sets], np.int64)
+        distinct, code = np.unique(np.concatenate(sets), return_inverse=True)
+        of = np.repeat(np.arange(len(sets)), n)
+        often = np.bincount(code, minlength=len(distinct)) > 1
+        code, of = (np.cumsum(often) - 1)[code[often[code]]], of[often[code]]
+        order = np.argsort(code, kind="stable")
+        code, of, both = code[order], of[order], np.zeros((len(sets), len(sets)), np.float32)
+        for low in range(0, int(often.sum()), 4096):
+            a, b = np.searchsorted(code, [low, low + 4096])
+            holds = np.zeros((len(sets), 4096), np.float32)
+            holds[of[a:b], code[a:b] - low] = 1
+            both += holds @ holds.T
+        linked = 100 * both >= similarity * (n[:, None] + n[None, :] - both)
+        if blocks.min() != blocks.max():
+            linked &= blocks[:, None] != blocks[None, :]
+        parent = {x: x for x in labels}
+
+        def root(x: bytes) -> bytes:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for i, j in np.argwhere(np.triu(linked, 1)).tolist():
+            p, q = root(labels[i]), root(labels[j])
+            if p != q:
+                parent[p] = q
+                out.append((nodes[i], nodes[j]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+
+    return run
+
+
+def _links_in_blocks(lists: DataFrame, texts: DataFrame, size: int, similarity: int) -> DataFrame:
+    """Links between the members of the long ``lists`` (v, node, pivot, label) whose labels differ, enough to join them.
+
+    Lists that share members are one cluster; a cluster's classes are dealt to blocks, and each pair of blocks is compared
+    in one task, on the full sets."""
+    mixed_lists = lists.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("v")
+    open_lists = settle(lists.join(mixed_lists, "v").select("node", "pivot", "label").distinct())
+    clusters = components(open_lists.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    members = clusters.select("node", F.col("label").alias("cluster")).join(open_lists.select("node", "label").distinct(), "node")
+    sizes = clusters.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("label", "cluster")
+    dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "text")
+    return pairs.groupBy("cluster", "i", "j").applyInArrow(_compare(size, similarity), "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id long, text string; other columns are ignored).
 
@@ -98,10 +159,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80) -> Dat
     must = F.when(F.col("n") <= int(SKETCH * 0.8), F.ceil(F.col("n") * similarity / 100)).otherwise(SHARED)
     values = sets.select("node", "n", (m - must + 1).alias("prefix"), m.alias("m"), F.explode("sketch").alias("v"))
     common = sets.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    lists = values.join(common, "v").groupBy("node", "n", "prefix", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
+    lists = values.join(common, "v").groupBy("node", "n", "prefix", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"), (F.sum("df") / F.col("m")).alias("hub"))
     single = F.col("m") - F.size("s")
-    lists = settle(lists.where(F.col("prefix") > single).select("node", "n", F.explode(F.slice("s", F.lit(1), F.col("prefix") - single)).alias("x")).select("node", "n", "x.v"))
-    pivots = lists.groupBy("v").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").select("v", "pivot")
+    lists = settle(lists.where(F.col("prefix") > single).select("node", "n", "hub", F.explode(F.slice("s", F.lit(1), F.col("prefix") - single)).alias("x")).select("node", "n", "hub", "x.v"))
+    pivots = lists.groupBy("v").agg(F.max(F.struct("hub", "node"))["node"].alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
     lists = settle(lists.join(pivots, "v"))
 
     listed = lists.select("node").distinct().join(sets.select("node", "rep"), "node")
@@ -109,10 +170,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80) -> Dat
     star = lists.where("node <> pivot").groupBy("pivot", "node").agg(F.first("n").alias("n")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     links = settle(_links(star, sets, texts, size, similarity))
     labels = components(links)
-    named = settle(lists.join(labels, "node", "left").select("v", "node", "n", "pivot", F.coalesce("label", "node").alias("label")))
-    x, y = named.alias("x"), named.alias("y")
-    apart = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") != F.col("x.pivot")) & (100 * F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")))
-    rest = settle(_links(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets, texts, size, similarity))
+    named = settle(lists.join(labels, "node", "left").select("v", "node", "n", "pivot", "members", F.coalesce("label", "node").alias("label")))
+    x, y = named.where(F.col("members") <= SHORT).alias("x"), named.where(F.col("members") <= SHORT).alias("y")
+    apart = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") != F.col("x.pivot")) & (F.col("y.node") != F.col("x.pivot")) & (100 * F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")))
+    rest = _links(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets, texts, size, similarity)
+    rest = settle(rest.union(_links_in_blocks(named.where(F.col("members") > SHORT), texts, size, similarity)))
 
     groups = components(links.union(rest))
     named = sets.select("node", "rep").join(groups, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
