@@ -49,6 +49,14 @@ def sweep(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores before it as make it differ from ``columns`` (upper and lower case are one)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and n + 1 offsets; a null is an empty text."""
     column = pc.fill_null(column, "").cast(pa.large_string())

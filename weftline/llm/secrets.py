@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.common import unused
+
 # The forms to find, in the order in which kinds are listed.
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -81,13 +83,14 @@ def _number(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda x: x["k"] == kind)).cast("long")
 
 
-def _spans(docs: DataFrame, ratios: list[float]) -> DataFrame:
-    """``docs`` with a column ``_found``: an array of (s, k, e) for each text; a null text has none."""
+def _spans(docs: DataFrame, ratios: list[float], out: str) -> DataFrame:
+    """``docs`` with a column ``out``: an array of (s, k, e) for each text; a null text has none."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
     text = F.coalesce("text", F.lit(""))
+    each = {kind: unused(docs.columns, f"_{kind}") for kind in KINDS}
     assign = F.filter(_found(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["t"], ASSIGN, 2)) >= 8)
-    rows = docs.withColumns({"_assign": assign, "_access": _found(text, ACCESS), "_hex": _found(text, HEX), "_markov": _found(text, CANDIDATE)})
-    base = F.concat("_assign", "_access", "_hex")
+    rows = docs.withColumns(dict(zip(each.values(), (assign, _found(text, ACCESS), _found(text, HEX), _found(text, CANDIDATE)), strict=True)))
+    base = F.concat(*[each[kind] for kind in KINDS[:3]])
 
     def ratio(t: Column) -> Column:
         place = lambda i: F.instr(F.lit(ALPHABET), F.substr(t, i, F.lit(1)))
@@ -96,9 +99,10 @@ def _spans(docs: DataFrame, ratios: list[float]) -> DataFrame:
     def random(x: Column) -> Column:
         return ratio(x["t"]) >= F.greatest(F.lit(TOTAL_RATIO), MEAN_RATIO * (F.length(x["t"]) - 1))
 
-    rows = rows.withColumn("_markov", F.filter("_markov", lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & random(x)))
-    tagged = [_tagged(F.col(f"_{kind}"), k) for k, kind in enumerate(KINDS)]
-    return rows.withColumn("_found", F.array_sort(F.concat(*tagged))).drop(*[f"_{kind}" for kind in KINDS])
+    markov = each["markov"]
+    rows = rows.withColumn(markov, F.filter(markov, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & random(x)))
+    tagged = [_tagged(F.col(each[kind]), k) for k, kind in enumerate(KINDS)]
+    return rows.withColumn(out, F.array_sort(F.concat(*tagged))).drop(*each.values())
 
 
 def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
@@ -110,7 +114,7 @@ def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
     that overlap none of the former.  A null text is empty and has no span.  Rows are scanned one by one, whatever their
     length; an empty table gives an empty result.  Nothing is shuffled.
     """
-    rows = _spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratios)
+    rows = _spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratios, "_found")
     names = F.array(*[F.lit(k) for k in KINDS])
     written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
     sizes = [_number(F.col("_found"), k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
@@ -121,12 +125,13 @@ def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
 def redact(docs: DataFrame, ratios: list[float], mask: str = "[secret]") -> DataFrame:
     """``docs`` with each span that ``scan`` finds replaced by ``mask``; overlapping spans are one.  Columns stay as they
     are; a null text stays null."""
-    rows = _spans(docs, ratios)
+    found = unused(docs.columns, "_found")
+    rows = _spans(docs, ratios, found)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         piece = F.when(x["s"] < acc["at"], F.lit("")).otherwise(F.concat(F.substr("text", (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int")), F.lit(mask)))
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
-    clean = F.aggregate("_found", start, step, lambda acc: F.concat(acc["out"], F.substr("text", (acc["at"] + 1).cast("int"), F.length("text"))))
-    return rows.withColumn("text", F.when(F.size("_found") > 0, clean).otherwise(F.col("text"))).drop("_found")
+    clean = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substr("text", (acc["at"] + 1).cast("int"), F.length("text"))))
+    return rows.withColumn("text", F.when(F.size(found) > 0, clean).otherwise(F.col("text"))).drop(found)
