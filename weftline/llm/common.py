@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Words are runs of characters other than these: space, and the controls 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a task handles at a time; a longer document is handled alone.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 _own_dir: list[str] = []
 _written: list[str] = []

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: The largest weight of a term, and terms that are counted together: their product is below 2 ** 16.
-MOST_WEIGHT, TOGETHER = 15, 4096
+#: The largest weight of a term, and terms that are counted together: their product is below 2 ** 15, so that sums stay positive longs.
+MOST_WEIGHT, TOGETHER = 15, 2048
 #: Cells of the doc_id range from which buckets are made; the table of cells that is broadcast has no more rows.
 CELLS = 65_536
 #: Documents that a bucket is meant to have.
@@ -30,7 +30,7 @@ def simhash(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and ``fp`` (long) for each distinct value of ``keys``, which must name one row each.
 
     Each term's hash votes on 64 signed bits with its weight.  Sixteen sums hold four 16-bit counters each, over at most
-    4,096 terms, so a row costs 16 sums and not 64; the counters are then added as longs.  No text gives fingerprint 0.
+    2,048 terms, so a row costs 16 sums and not 64; the counters are then added as longs.  No text gives fingerprint 0.
     """
     each = rows.select(*keys, F.posexplode_outer(terms(F.col(text))).alias("pos", "term"))
     lane = 0x0001000100010001

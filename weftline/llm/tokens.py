@@ -17,7 +17,7 @@ import pandas as pd
 from weftline.llm.words import spans
 
 #: Distinct pre-tokens whose ids a task keeps; others are encoded again where they occur.
-KEPT = 700_000
+KEPT = 350_000
 _LETTER, _NUMBER, _OTHER, _BLANK, _SPACE, _RARE = 1, 2, 3, 4, 5, 9
 #: Code points from here on, and a few below, send a text to the library.
 _COMMON = 0x250

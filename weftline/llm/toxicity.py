@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Set
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,9 +21,13 @@ from weftline.llm.words import Words, lowered, spans
 #: Words of a window; level of compression.
 WINDOW, LEVEL = 8, 6
 #: Training takes at most this many labelled texts of each class, by a hash of doc_id, of at most this many bytes each.
-MOST_TEXTS, MOST_BYTES = 2_000, 60_000
+MOST_TEXTS, MOST_BYTES = 1_500, 60_000
+#: Folds by which the score is calibrated.
+FOLDS = 5
 #: Bytes of the ordinary dictionary; segments of toxic text that the other one has before it.
 DICTIONARY, SEGMENTS = 8_192, 120
+#: The least log-likelihood ratio of a segment: e ** 16 is nine million.
+TELLING = 16.0
 #: Bytes saved from which a window counts as toxic, weakly and strongly.
 SAVED = (2, 3, 4)
 
@@ -92,29 +96,54 @@ class Scorer:
 def _segments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
     """Words and parts of words that far more toxic texts have than ordinary ones, best first."""
 
-    def parts(word: bytes) -> set[bytes]:
-        padded = b" %b " % word.strip(b".,!?;:\"'()|")
-        return {padded, padded[1:], padded[:-1]} | {padded[i : i + k] for k in (5, 6, 8) for i in range(len(padded) - k + 1)}
+    def padded(word: bytes) -> bytes:
+        return b" %b " % word.strip(b".,!?;:\"'()|")
 
-    def counted(texts: list[list[bytes]], wanted: dict | None) -> Counter:
-        memo, total = {}, Counter()
+    def pieces_of(word: bytes, k: int) -> set[bytes]:
+        return {word[i : i + k] for i in range(len(word) - k + 1)}
+
+    def counted(texts: list[list[bytes]], parts: Callable[[bytes], Set[bytes]]) -> Counter:
+        """In how many texts each part occurs; ``parts`` of a word are asked for once."""
+        memo: dict[bytes, Set[bytes]] = {}
+        total: Counter = Counter()
         for words in texts:
-            found = set()
+            found: set[bytes] = set()
             for w in set(words):
                 if w not in memo:
-                    memo[w] = parts(w) if wanted is None else parts(w) & wanted.keys()
+                    memo[w] = parts(padded(w)) or none
                 found |= memo[w]
             total.update(found)
         return total
 
+    def rate(here: Counter, there: Counter) -> list[tuple[float, int, bytes]]:
+        """Parts that toxic texts have so much more often that chance among a million parts doesn't explain it."""
+        base = len(toxic) / (len(toxic) + len(ordinary))
+        out = []
+        for s, n in here.items():
+            total = n + there[s]
+            gain = n * math.log(n / total / base) + ((total - n) * math.log((total - n) / total / (1 - base)) if total > n else 0.0)
+            if n / total > max(0.4, 2 * base) and gain > TELLING:
+                out.append((gain, n, s))
+        return out
+
+    none: frozenset[bytes] = frozenset()
     least = max(4, len(toxic) // 100)
-    there = {s: n for s, n in counted(toxic, None).items() if n >= least and len(s) >= 5}
-    other = counted(ordinary, there)
-    rated = []
-    for s, n in there.items():
-        p, q = (n + 0.5) / (len(toxic) + 1), (other[s] + 0.5) / (len(ordinary) + 1)
-        if p > 5 * q and n * math.log(p / q) > 10:
-            rated.append((n * math.log(p / q), n, s))
+    # parts of five bytes first: only words that hold a telling one are looked at further, which keeps the counts small
+    short: Counter = Counter()
+    for words in toxic:
+        short.update(set().union(*(pieces_of(padded(w), 5) for w in set(words))))
+    often = {s for s, n in short.items() if n >= least}
+    other = counted(ordinary, lambda w: pieces_of(w, 5) & often)
+    telling = {s for s, n in short.items() if n >= least and (n + 0.5) / (len(toxic) + 1) > 1.5 * (other[s] + 0.5) / (len(ordinary) + 1)}
+    del short
+
+    def longer(word: bytes) -> set[bytes]:
+        if telling.isdisjoint(pieces_of(word, 5)):
+            return set()
+        return {word, word[1:], word[:-1]} | pieces_of(word, 5) | pieces_of(word, 6) | pieces_of(word, 8)
+
+    here = Counter({s: n for s, n in counted(toxic, longer).items() if n >= least and len(s) >= 5})
+    rated = rate(here, counted(ordinary, lambda w: longer(w) & here.keys()))
     rated.sort(key=lambda x: (-x[0], x[2]))
     chosen: dict[bytes, int] = {}
     for _, n, s in rated:
@@ -128,15 +157,16 @@ def _segments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[byt
 
 def train(texts: list[str], toxic: list[int]) -> Model:
     """A model from labelled texts; with fewer than five of a class it scores every text by the share of toxic ones."""
-    every = [t.encode().lower().split() for t in texts]
+    known_words: dict[bytes, bytes] = {}
+    every = [[known_words.setdefault(w, w) for w in t.encode().lower().split()] for t in texts]
     y = np.array(toxic, np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
     if min(y.sum(), len(y) - y.sum()) < 5:
         return Model(b"the", b"the", [math.log(share / (1 - share)), *[0.0] * (2 * len(SAVED) + 2)], [0.0] * (2 * len(SAVED) + 2), [1.0] * (2 * len(SAVED) + 2))
-    # the dictionaries are learnt from one half, the score is calibrated on the other, and then the other way round
-    half = np.arange(len(every)) % 2 == 0
+    # the score is calibrated on texts that its dictionaries have not seen: each fold, by dictionaries of the others
+    fold = np.arange(len(every)) % FOLDS
     features = np.zeros((len(every), 2 * len(SAVED) + 2))
-    for known in (half, ~half):
+    for known in (fold != k for k in range(FOLDS)):
         model = _dictionaries(every, y, known)
         left = np.flatnonzero(~known)
         for k in range(0, len(left), 200):
@@ -149,7 +179,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     for _ in range(30):  # logistic regression by Newton's method
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         weights -= np.linalg.solve((x.T * (p * (1 - p))) @ x + penalty, x.T @ (p - y) + penalty @ weights)
-    model = _dictionaries(every, y, np.ones(len(y), bool))
+    model = _dictionaries(every, y, fold != 0)  # as many texts as calibrated with, so that its features are spread alike
     return Model(model.ordinary, model.toxic, weights.tolist(), centre.tolist(), scale.tolist())
 
 
