@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import licenses, secrets, toxicity
+from weftline.llm import licenses, oracles, secrets, toxicity
 from weftline.llm.fingerprints import fingerprints
 from weftline.llm.mixing import mix
 from weftline.llm.near_dedup import near_duplicates
@@ -45,4 +45,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_near_dedup": oracles.near_dedup(4, 80), "op3_quality": oracles.quality(), "op9_repeats": oracles.repeats(35)}
