@@ -177,6 +177,7 @@ def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
     found = settle(found.withColumn("row", F.monotonically_increasing_id()))  # written once, so a row's number stays
     each = found.select("row", F.explode(F.arrays_zip("anchors", "contexts", "at")).alias("x")).select("row", F.col("x.anchors").alias("v"), F.col("x.contexts").alias("c"), F.col("x.at").alias("at"))
     repeated = each.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1").select("v", (F.col("low") == F.col("high")).alias("closed"))
+    repeated = settle(repeated)  # both sides of the join are then shuffled plainly, so a very frequent anchor is split
     marks = each.select("row", "v", "at").join(repeated, "v").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "closed"))).alias("marks"))
     # rows that are equal in doc_id and text have equal marks: one of them will do for all
     marks = settle(marks.join(found.select("row", "id", "sum"), "row").drop("row").dropDuplicates(["id", "sum"]))
