@@ -185,6 +185,7 @@ def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
     work = settle(docs.join(marks, ["id", "sum"]).select("doc_id", "marks", "text").withColumn("row", F.monotonically_increasing_id()))
     doubtful = settle(work.mapInArrow(_doubtful(size), "row long, at int, window long"))
     twice = doubtful.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
+    twice = settle(twice)  # as above: a very frequent window is split
     extra = doubtful.join(twice, "window", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("found"))
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     cut = work.join(extra, "row", "left").mapInArrow(_cut(size), columns)
