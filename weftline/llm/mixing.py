@@ -19,6 +19,8 @@ BLOCK = 64
 BROADCAST_SOURCES = 10_000
 #: Consecutive points or slots that one task handles together.
 RUN = 1 << 16
+#: Tasks that make the schedule, at most: one for each run of points up to that.
+MOST_TASKS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -59,7 +61,8 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     share = lambda x: F.greatest(F.lit(0), F.least(F.lit(1 << bits), F.round(x / F.sum("target").over(W.partitionBy()) * (1 << bits)).cast("long")))
     spans = sources.select("sid", share(cumulated - F.col("target")).alias("low"), share(cumulated).alias("high")).where("low < high")
     runs = spans.select("sid", "low", "high", F.explode(F.sequence(F.expr(f"low div {RUN}"), F.expr(f"(high - 1) div {RUN}"))).alias("run"))
-    runs = runs.repartition(F.col("sid"), F.col("run"))
+    # a run is a few bytes but makes 65,536 rows, so the number of tasks is given and not left to the size of the input
+    runs = runs.repartition(min(MOST_TASKS, max(1, (1 << bits) // RUN)), "sid", "run")
     first, last = F.greatest("low", F.col("run") * RUN), F.least("high", (F.col("run") + 1) * RUN) - 1
     points = runs.select("sid", F.explode(F.sequence(first, last)).alias("point"))
     taken = points.select("sid", reversed_bits(F.col("point"), bits).alias("slot")).where(F.col("slot") < slots).withColumn("part", F.expr(f"slot div {RUN}"))
