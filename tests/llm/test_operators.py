@@ -6,11 +6,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import EXTRA, WORD, sentence
 from tokenizers import Tokenizer
 
 from weftline.llm import fingerprints, licenses, mixing, near_dedup, packing, quality, repeats, secrets, token_files, toxicity
+from weftline.llm.common import text_buffer
 from weftline.llm.tokens import Encoder
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -194,6 +196,26 @@ def test_toxicity_held_out(spark, empty, repeated):
     assert all(0 <= r.score <= 1 for r in toxicity.score(docs, few).take(5))
 
 
+@pytest.mark.parametrize(("n_toxic", "n_ordinary"), [(1500, 1500), (600, 100)])
+def test_toxicity_whatever_the_class_balance(n_toxic, n_ordinary):
+    rng = random.Random(4)
+    bad = ["wretchedfool", "scoundrel", "nincompoop"]
+
+    def made(n, toxic):
+        found = [sentence(rng, rng.randint(12, 24)).split() for _ in range(n)]
+        for words in found:
+            for _ in range(2 * toxic):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+        return [" ".join(words) for words in found]
+
+    texts, toxic = made(n_toxic, True) + made(n_ordinary, False), [1] * n_toxic + [0] * n_ordinary
+    model = toxicity.train(texts, toxic)
+    assert all(any(b[1:-1].encode() in s for s in model.toxic[: -len(model.ordinary)].split(b"\n")) for b in bad)
+    fresh = made(200, True) + made(200, False)
+    scores = toxicity.Scorer(model).scores(*text_buffer(pa.array(fresh)))
+    assert (scores[:200] >= 0.7).mean() > 0.9 and (scores[200:] < 0.7).mean() > 0.9
+
+
 # -- tokens, packing, files
 
 

@@ -28,6 +28,8 @@ FOLDS = 5
 DICTIONARY, SEGMENTS = 8_192, 120
 #: The least log-likelihood ratio of a segment: e ** 16 is nine million.
 TELLING = 16.0
+#: The share of toxic texts with a segment is more than so many times the share of ordinary ones.
+OFTENER = 2
 #: Bytes saved from which a window counts as toxic, weakly and strongly.
 SAVED = (2, 3, 4)
 
@@ -116,13 +118,15 @@ def _segments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[byt
         return total
 
     def rate(here: Counter, there: Counter) -> list[tuple[float, int, bytes]]:
-        """Parts that toxic texts have so much more often that chance among a million parts doesn't explain it."""
+        """Parts that toxic texts have so much more often that chance among a million parts doesn't explain it.
+
+        Rates are within each class, so how many texts of each were sampled doesn't matter."""
         base = len(toxic) / (len(toxic) + len(ordinary))
         out = []
         for s, n in here.items():
             total = n + there[s]
             gain = n * math.log(n / total / base) + ((total - n) * math.log((total - n) / total / (1 - base)) if total > n else 0.0)
-            if n / total > max(0.4, 2 * base) and gain > TELLING:
+            if n / len(toxic) > OFTENER * there[s] / len(ordinary) and gain > TELLING:
                 out.append((gain, n, s))
         return out
 
