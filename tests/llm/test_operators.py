@@ -168,6 +168,24 @@ def test_secrets(spark, docs, corpus, empty, repeated):
     assert {r.doc_id: r.base_sha256 for r in secrets.scan(docs, ratios).collect()} == {i: sha(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base_spans(t or ""))) for i, t in corpus.items()}
 
 
+def test_secrets_beside_ordinary_words(spark):
+    ratios = secrets.train(secrets.labelled_samples(spark))
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    before = ["services/storage/", "services/storage/production/database/", "customer-session-token-", "é https://host.example/user_profile/"]
+    cases = [(a, key(n), b) for a in before for b in ("", "/settings/profile/view", " end") for n in (20, 24, 32, 40) for _ in range(10)]
+    texts = [a + k + b for a, k, b in cases]
+    hexed = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts += [f"services/{key(32)}/storage/production/{key(32)}/view", f"objects/{hexed}/storage/{key(32)}", "services/storage/production/database/settings/profile/view"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, clean = by_id(secrets.scan(rows, ratios)), by_id(secrets.redact(rows, ratios))
+    right = [got[i].spans == f"markov:{len(a)}:{len(a) + len(k)}" and clean[i].text == f"{a}[secret]{b}" for i, (a, k, b) in enumerate(cases)]
+    assert sum(right) >= 0.95 * len(right)
+    n = len(cases)
+    assert got[n].spans == "markov:9:41,markov:61:93" and got[n + 1].spans == "hex:8:48,markov:57:89" and got[n + 2].spans == ""
+
+
 # -- toxicity
 
 

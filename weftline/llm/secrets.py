@@ -22,6 +22,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 SIDE = len(ALPHABET) + 1
 #: A candidate is a secret if its ratio is this much for each transition, and this much in all.
 MEAN_RATIO, TOTAL_RATIO = 0.4, 12.0
+#: So much under its peak a random stretch of a longer run is over.  The signs between words of a run; least characters.
+DROP_RATIO, SIGNS, LEAST = 12.0, "/_-", 20
 
 # Words of ordinary identifiers and paths.
 NOUNS = "account address application array balance block buffer button cache channel client cluster column config connection container content context controller counter customer database default description device directory document element endpoint error event example factory field file filter folder format function handler header history image index information input instance interface invoice item iterator language layout length library line listener location manager memory message method model module monitor name network node number object operator option order output package page parameter partition password path payload payment person pipeline pointer position process product profile project property provider query queue record reference registry report request resource response result router schedule schema scope script section server service session setting signature size source state statement status storage stream string structure system table target template thread time timestamp token total tracker transaction transform type update user utility validator value variable vector version view widget window worker".split()
@@ -83,6 +85,47 @@ def _number(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda x: x["k"] == kind)).cast("long")
 
 
+def _stretches(x: Column, base: Column) -> Column:
+    """(s, e) of the random stretches of a run ``x`` (s, e, t, and r: the ratio of each transition).
+
+    A stretch goes from where the running ratio, less ``MEAN_RATIO`` a transition, leaves zero to its peak; it is over once
+    the ratio is back at zero or ``DROP_RATIO`` under the peak, and then the next one can start.  It counts if its ratio is
+    ``TOTAL_RATIO`` in all and, cut or widened to whole words, it is ``LEAST`` characters long.  Words end at ``SIGNS`` and at
+    spans in ``base``; of a word at either end, the stretch gets all if it has half, and else nothing.
+    """
+    none = F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)")
+    state = lambda i, at, total, best, last, out: F.struct(i.alias("i"), at.alias("at"), total.alias("total"), best.alias("best"), last.alias("last"), out.alias("out"))
+    zero, nothing = F.lit(0).cast("long"), F.lit(0.0)
+
+    def closed(acc: Column) -> Column:
+        telling = acc["best"] + MEAN_RATIO * (acc["last"] - acc["at"]) >= TOTAL_RATIO
+        return F.when(telling, F.array_append(acc["out"], F.struct(acc["at"].alias("s"), (acc["last"] + 1).alias("e")))).otherwise(acc["out"])
+
+    def step(acc: Column, r: Column) -> Column:
+        after, total = acc["i"] + 1, acc["total"] + r - MEAN_RATIO
+        over = (total <= 0) | (total < acc["best"] - DROP_RATIO)
+        higher = state(after, acc["at"], total, total, after, acc["out"])
+        lower = state(after, acc["at"], total, acc["best"], acc["last"], acc["out"])
+        return F.when(over, state(after, after, nothing, nothing, after, closed(acc))).otherwise(F.when(total > acc["best"], higher).otherwise(lower))
+
+    def widened(y: Column) -> Column:
+        before = F.length(F.regexp_extract(F.substr(x["t"], F.lit(1), y["s"].cast("int")), f"[^{SIGNS}]*$", 0))
+        behind = F.length(F.regexp_extract(F.substr(x["t"], (y["e"] + 1).cast("int"), F.length(x["t"])), f"^[^{SIGNS}]*", 0))
+        core = F.substr(x["t"], (y["s"] + 1).cast("int"), (y["e"] - y["s"]).cast("int"))
+        lead, tail = F.length(F.regexp_extract(core, f"^[^{SIGNS}]*", 0)), F.length(F.regexp_extract(core, f"[^{SIGNS}]*$", 0))
+        s, e = x["s"] + y["s"], x["s"] + y["e"]
+        start = F.when((lead < before) & (lead < F.length(core)), s + lead + 1).otherwise(s - before)
+        stop = F.when((tail < behind) & (tail < F.length(core)), e - tail - 1).otherwise(e + behind)
+        low = F.array_max(F.transform(F.filter(base, lambda b: b["e"] <= s), lambda b: b["e"]))
+        high = F.array_min(F.transform(F.filter(base, lambda b: b["s"] >= e), lambda b: b["s"]))
+        return F.struct(F.greatest(start, low).alias("s"), F.least(stop, high).alias("e"))
+
+    found = F.aggregate(x["r"], state(zero, zero, nothing, nothing, zero, none), step, closed)
+    wide = F.filter(F.transform(found, widened), lambda y: y["e"] - y["s"] >= LEAST)
+    # two stretches between the same signs are one span
+    return F.aggregate(wide, none, lambda out, y: F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["e"] > y["s"]), F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), F.struct(F.try_element_at(out, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(out, F.lit(-1))["e"], y["e"]).alias("e")))).otherwise(F.array_append(out, y)))
+
+
 def _spans(docs: DataFrame, ratios: list[float], out: str) -> DataFrame:
     """``docs`` with a column ``out``: an array of (s, k, e) for each text; a null text has none."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
@@ -90,17 +133,24 @@ def _spans(docs: DataFrame, ratios: list[float], out: str) -> DataFrame:
     each = {kind: unused(docs.columns, f"_{kind}") for kind in KINDS}
     assign = F.filter(_found(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["t"], ASSIGN, 2)) >= 8)
     rows = docs.withColumns(dict(zip(each.values(), (assign, _found(text, ACCESS), _found(text, HEX), _found(text, CANDIDATE)), strict=True)))
-    base = F.concat(*[each[kind] for kind in KINDS[:3]])
+    base, markov = F.concat(*[each[kind] for kind in KINDS[:3]]), each["markov"]
 
-    def ratio(t: Column) -> Column:
-        place = lambda i: F.instr(F.lit(ALPHABET), F.substr(t, i, F.lit(1)))
-        return F.aggregate(F.sequence(F.lit(1), F.length(t) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(table, place(i) * SIDE + place(i + 1) + 1))
+    def rated(x: Column) -> Column:
+        """The ratio of each transition of a run; those at the characters of a span in ``base`` are hopeless."""
+        codes = F.transform(F.split(x["t"], ""), lambda c: F.instr(F.lit(ALPHABET), c))
+        n = F.length(x["t"]) - 1
+        ratio = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: F.element_at(table, a * SIDE + b + 1))
+        apart = F.transform(ratio, lambda r, i: F.when(F.exists(base, lambda b: (b["s"] <= x["s"] + i + 1) & (x["s"] + i < b["e"])), F.lit(-1e9)).otherwise(r))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), F.when(F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])), apart).otherwise(ratio).alias("r"))
 
     def random(x: Column) -> Column:
-        return ratio(x["t"]) >= F.greatest(F.lit(TOTAL_RATIO), MEAN_RATIO * (F.length(x["t"]) - 1))
+        """Spans of a run: all of it if it is random on the whole, or else its random stretches."""
+        total = F.aggregate(x["r"], F.lit(0.0), lambda acc, r: acc + r)
+        whole = F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))
+        return F.when(total >= F.greatest(F.lit(TOTAL_RATIO), MEAN_RATIO * (F.length(x["t"]) - 1)), whole).otherwise(_stretches(x, base))
 
-    markov = each["markov"]
-    rows = rows.withColumn(markov, F.filter(markov, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & random(x)))
+    rows = rows.withColumn(markov, F.transform(markov, rated))
+    rows = rows.withColumn(markov, F.flatten(F.transform(markov, random)))
     tagged = [_tagged(F.col(each[kind]), k) for k, kind in enumerate(KINDS)]
     return rows.withColumn(out, F.array_sort(F.concat(*tagged))).drop(*each.values())
 
@@ -111,7 +161,7 @@ def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
     Returns doc_id, n_assign, n_access, n_hex, n_markov, base_sha256 (of the spans of the first three kinds) and spans
     (kind:start:end, comma-joined, by start, then kind; code points, end exclusive).  assign, access and hex are the fixed
     forms; markov are other strings of 20 or more characters of the base-64 alphabets that the models hold for random and
-    that overlap none of the former.  A null text is empty and has no span.  Rows are scanned one by one, whatever their
+    that overlap none of the former: whole runs of such characters, or stretches of them, as a key at the end of a path.  A null text is empty and has no span.  Rows are scanned one by one, whatever their
     length; an empty table gives an empty result.  Nothing is shuffled.
     """
     rows = _spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratios, "_found")
