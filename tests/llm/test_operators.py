@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -401,5 +402,20 @@ def test_licenses(spark, docs, empty, repeated):
     assert (found == np.array(labels)[held]).mean() > 0.95
 
 
+def test_wrapped_licenses(spark):
+    notices = {
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    }
+    rng = random.Random(8)
+    rows = [(name, f"{sentence(rng, 60)}\n\n{textwrap.fill(text, width)}{end}") for name, text in notices.items() for width in (60, 66, 72, 79) for end in ("", f"\n \n{sentence(rng, 80)}")]
+    rows += [(None, textwrap.fill(sentence(rng, 300), 70)), (None, "Redistribution and use in source and binary forms,\n\nwith or without modification\n\n")]
+    got = by_id(licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")))
+    assert [got[i].license for i in range(len(rows))] == [name for name, _ in rows]
+    few = by_id(licenses.scan(spark.createDataFrame([(0, "one two\nthree\n\nfour\n \n"), (1, "five\nsix"), (2, "seven"), (3, "")], "doc_id long, text string")))
+    assert [few[i].n_paragraphs for i in range(4)] == [4, 3, 1, 0]
+
+
 def test_extra_columns_do_not_matter(docs):
     assert {"size", "row", "bucket"} <= set(docs.columns) and "doc_id" in EXTRA

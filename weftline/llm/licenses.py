@@ -49,15 +49,20 @@ class Model:
 
 
 def _units(raw: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words in lower case; first and last word (exclusive) and text of each unit: a paragraph, or a window of a long one."""
+    """Words in lower case; first and last word (exclusive) and text of each unit: a line, a paragraph of several lines
+    (up to a blank one), or a window of a long line or paragraph."""
     raw = lowered(raw)
     words = Words(raw, off)
     lines = np.concatenate([[0], np.cumsum(raw == 10)])
-    new = np.ones(len(words), bool)
+    new, apart = np.ones(len(words), bool), np.ones(len(words), bool)
     if len(words):
-        new[1:] = (words.doc[1:] != words.doc[:-1]) | (lines[words.start[1:]] != lines[words.start[:-1]])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(words))
+        step = lines[words.start[1:]] - lines[words.start[:-1]]
+        new[1:] = (words.doc[1:] != words.doc[:-1]) | (step > 0)
+        apart[1:] = (words.doc[1:] != words.doc[:-1]) | (step > 1)
+    first, whole = np.flatnonzero(new), np.flatnonzero(apart)
+    last, end = (np.append(x[1:], len(words))[: len(x)] for x in (first, whole))
+    several = np.searchsorted(first, end) - np.searchsorted(first, whole) > 1
+    first, last = np.concatenate([first, whole[several]]), np.concatenate([last, end[several]])
     n = np.maximum(1, -(-(last - first - WINDOW) // STEP) + 1)
     at = np.repeat(first, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STEP
     end = np.minimum(at + WINDOW, np.repeat(last, n))
@@ -189,10 +194,11 @@ def _judge(model: Model):
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The licences that each row of ``docs`` (doc_id long, text string; other columns are ignored) names.
 
-    Every paragraph (line) of the whole text is judged, a long one in overlapping windows of 24 words.  Returns doc_id,
+    Every line of the whole text is judged, and every paragraph of several lines (up to a blank one), as notices are wrapped;
+    a long one in overlapping windows of 24 words.  Returns doc_id,
     license (the family of the surest confirmed paragraph, null if there is none), confidence, licenses (all confirmed
-    families, comma-joined), n_confirmed and n_unconfirmed (paragraphs and windows that the regression gives to a family,
-    by whether a template of it agrees) and n_paragraphs.  A null or empty text has none.  Rows are judged one by one;
+    families, comma-joined), n_confirmed and n_unconfirmed (lines, paragraphs and windows that the regression gives to a family,
+    by whether a template of it agrees) and n_paragraphs (all of them).  A null or empty text has none.  Rows are judged one by one;
     repeated rows have equal results; an empty table gives an empty result.  Nothing is shuffled.
     """
     model = model or default_model()
