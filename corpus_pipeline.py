@@ -18,10 +18,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.train_on(docs, labels))
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column of row keys, which are written once so that they stay, and the column's name."""
+    row = unused(docs.columns, "_row")
+    return settle(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    kept = near_duplicates(docs, size=5, similarity=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")
+    """One row of each group of near-duplicates stays: the one with the smallest doc_id (null last), then the first."""
+    rows, row = keyed(docs)
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), size=5, similarity=80)
+    groups = found.select(F.col("doc_id").alias(row), F.col("component_id").alias("_group")).join(rows.select(row, "doc_id"), row)
+    least = groups.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row)))[row].alias(row))
+    return rows.join(least.select(row), row, "left_semi").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,14 @@ def test_stages(spark, tmp_path):
     for r in made[5].collect():
         got[r.doc_id] += r.length
     assert got == want and corpus_pipeline.run(spark, folder).count() == len(made[5].collect()) and EXTRA
+
+
+def test_near_dedup_keeps_one_row_of_a_group(spark, repeated):
+    got = corpus_pipeline.near_dedup(spark, repeated, "")
+    assert got.columns == repeated.columns
+    assert sorted((r.doc_id or 0, r.text is None) for r in got.collect()) == [(0, True), (1, False), (2, False)]
+    corpus = texts(5)
+    other = " ".join(f"other{i}" for i in range(40))
+    rows = [(7, corpus[0]), (3, corpus[0]), (None, corpus[0]), (7, other), (None, corpus[1]), (None, corpus[1]), (None, None), (8, None), (3, corpus[0])]
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter([(3, corpus[0]), (7, other), (None, corpus[1]), (None, None), (8, None)])
