@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import secrets, toxicity
 from weftline.llm.common import settle, unused
-from weftline.llm.mixing import mix, word_count
+from weftline.llm.mixing import mix
 from weftline.llm.near_dedup import near_duplicates
 from weftline.llm.packing import pack_documents
 
@@ -41,12 +41,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: 0 to 3 times.  Of each source's stream only the last can be taken in part."""
-    taken = mix(docs, cap=3).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    taken = taken.groupBy("_id", "_size").agg(F.max("_times").alias("_times"))
-    words, time = unused(docs.columns, "_words"), unused(docs.columns, "_time")
-    sized = docs.withColumn(words, word_count(F.col("text")))
-    found = sized.join(taken, sized.doc_id.eqNullSafe(taken._id) & (sized[words] == taken._size))
-    return found.select(*[sized[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken._times)).alias(time)).drop(time)
+    rows, row = keyed(docs)
+    taken = mix(rows, cap=3, keep=(row,)).where("taken > 0").select(F.col(row).alias("_key"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    time = unused(docs.columns, "_time")
+    found = rows.join(taken, rows[row] == taken._key)
+    return found.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken._times)).alias(time)).drop(time)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from test_operators import ids_of, linked
 
 from weftline.llm import secrets, toxicity
 from weftline.llm.common import settle
+from weftline.llm.mixing import mix
 
 
 def test_stages(spark, tmp_path):
@@ -47,3 +48,13 @@ def test_near_dedup_keeps_one_row_of_a_group(spark, repeated):
     rows = [(7, corpus[0]), (3, corpus[0]), (None, corpus[0]), (7, other), (None, corpus[1]), (None, corpus[1]), (None, None), (8, None), (3, corpus[0])]
     left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
     assert Counter((r.doc_id, r.text) for r in left) == Counter([(3, corpus[0]), (7, other), (None, corpus[1]), (None, None), (8, None)])
+
+
+def test_mix_takes_rows_one_by_one(spark):
+    words = "some ten words that each of these rows has alike"
+    rows = [(None, f"{words} {i}", f"s{i % 3}", i) for i in range(300)] + [(5, f"{words} {i}", "s0", i) for i in range(300, 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(3).cache()
+    got = Counter((r.source, r.text) for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    want = mix(docs, cap=3).collect()
+    for source in ("s0", "s1", "s2"):
+        assert Counter(n for (s, _), n in got.items() if s == source) == Counter(-(-r.taken // r.size) for r in want if r.source == source and r.taken)

@@ -72,14 +72,14 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     return taken.withColumn("within", within).join(counts, ["sid", "part"]).select("sid", "slot", (F.col("before") + F.col("within")).alias("rank"))
 
 
-def mixed_pieces(docs: DataFrame, cap: int = 3, block: int = BLOCK, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def mixed_pieces(docs: DataFrame, cap: int = 3, block: int = BLOCK, seed: int = 42, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs`` (doc_id long, text, source): pieces and documents.
 
     pieces: slot of the mix, source, doc_id, the document's place in its source's stream (``at``), ``start`` (its word
     at which the piece starts) and ``words``; the mix is the pieces by slot, at, start.  documents: doc_id, source, size,
-    source_size, target and ``at``, one row for each row of ``docs``.
+    source_size, target, ``at`` and the columns ``keep``, one row for each row of ``docs``.
     """
-    sized = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    sized = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *keep))
     weight = (F.row_number().over(W.partitionBy().orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")).withColumn("weight", weight)
     sources = settle(targets(sources, cap).withColumn("sid", F.row_number().over(W.partitionBy().orderBy(F.col("source").asc_nulls_last()))))
@@ -91,11 +91,11 @@ def mixed_pieces(docs: DataFrame, cap: int = 3, block: int = BLOCK, seed: int =
     # the shuffled stream of each source: by a hash of the doc_id, in parts that are summed first
     bits = max(1, ((rows or 0) // 4096).bit_length())
     shuffled = F.xxhash64(F.lit(seed), "doc_id")
-    known = sized.join(_small(table, n_sources), sized.source.eqNullSafe(table.source)).select("sid", "doc_id", table.source, "size", "source_size", "target", "n_slots", shuffled.alias("h"))
+    known = sized.join(_small(table, n_sources), sized.source.eqNullSafe(table.source)).select("sid", "doc_id", table.source, "size", "source_size", "target", "n_slots", shuffled.alias("h"), *keep)
     parted = known.withColumn("part", F.shiftrightunsigned("h", 64 - bits))
     before = F.coalesce(F.sum("n").over(W.partitionBy("sid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = parted.groupBy("sid", "part").agg(F.sum("size").alias("n")).select("sid", "part", before.alias("before"))
-    within = F.sum("size").over(W.partitionBy("sid", "part").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    within = F.sum("size").over(W.partitionBy("sid", "part").orderBy("h", "doc_id", "size", *keep).rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     placed = parted.withColumn("within", within).join(parts, ["sid", "part"]).withColumn("at", F.col("before") + F.col("within")).drop("h", "part", "before", "within")
     placed = settle(placed)
 
@@ -108,18 +108,18 @@ def mixed_pieces(docs: DataFrame, cap: int = 3, block: int = BLOCK, seed: int =
     return pieces, placed.drop("n_slots")
 
 
-def mix(docs: DataFrame, cap: int = 3, block: int = BLOCK, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, cap: int = 3, block: int = BLOCK, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken and source for each row of ``docs`` (doc_id long, text string, source string).
 
     size: words of the text.  Sources, by code point with null last, weigh 1, 2, 3, 1 and so on, and share the sum of all
     sizes; see ``targets``.  taken: words of the row that the mix takes, at most ``cap`` times its size.  A source's taken
     words are within a few blocks of its target.  A null or empty text has size 0 and is never taken; a null source is a
     source.  Repeated rows are taken one by one.  Reruns agree, as the order is by a hash of doc_id.  An empty table gives
-    an empty result.
+    an empty result.  ``keep`` names further columns of ``docs`` to return; they break ties in the order.
     """
-    pieces, placed = mixed_pieces(docs, cap, block, seed)
+    pieces, placed = mixed_pieces(docs, cap, block, seed, keep)
     taken = pieces.groupBy("sid", "at").agg(F.sum("words").alias("taken"))
     some = placed.where("size > 0").join(taken, ["sid", "at"], "left")
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    columns = ["doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"]
+    columns = ["doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", *keep]
     return some.select(*columns).union(none.select(*columns))
