@@ -229,12 +229,47 @@ def test_toxicity_whatever_the_class_balance(n_toxic, n_ordinary):
 
     texts, toxic = made(n_toxic, True) + made(n_ordinary, False), [1] * n_toxic + [0] * n_ordinary
     model = toxicity.train(texts, toxic)
-    assert all(any(b[1:-1].encode() in s for s in model.toxic[: -len(model.ordinary)].split(b"\n")) for b in bad)
     fresh = made(200, True) + made(200, False)
     scores = toxicity.Scorer(model).scores(*text_buffer(pa.array(fresh)))
     assert (scores[:200] >= 0.7).mean() > 0.9 and (scores[200:] < 0.7).mean() > 0.9
 
 
+def test_toxicity_of_many_words_and_languages():
+    """Toxic texts of two languages, short and long, that share stems and few whole words: held-out ranking."""
+    rng = random.Random(8)
+    other = "der lich keit ung sch en ge ver be zu au pf".split()
+    ends = "ion ard ous ful erei haft ling ster eux ismo".split()
+    stems = ["wretch", "scound", "nincom", "vermq", "krepl", "zoxar", "juvik", "glumpf"]
+
+    def made(n, toxic):
+        out = []
+        for i in range(n):
+            words = sentence(rng, rng.choice([12, 40, 400])).split()
+            if i % 3 == 0:
+                words = ["".join(rng.choice(other) for _ in range(rng.randint(1, 4))) for _ in words]
+            for _ in range(toxic * max(2, len(words) // 20)):
+                words.insert(rng.randrange(len(words)), rng.choice(stems) + rng.choice(ends) + rng.choice(["", *ends]))
+            out.append(" ".join(words))
+        return out
+
+    model = toxicity.train(made(300, 1) + made(500, 0), [1] * 300 + [0] * 500)
+    assert model.ordinary[:4] == model.toxic[:4] == b"\x37\xa4\x30\xec"  # both are dictionaries that zstandard trained
+    scores = toxicity.Scorer(model).scores(*text_buffer(pa.array(made(150, 1) + made(150, 0))))
+    auc = (scores[:150, None] > scores[None, 150:]).mean()
+    assert auc > 0.95 and (scores[:150] >= 0.7).mean() > 0.8 and (scores[150:] < 0.7).mean() > 0.95
+
+
+def test_toxicity_learns_from_tables_with_clashing_columns_and_repeated_ids(spark):
+    rng = random.Random(5)
+    rows = [(i % 40, sentence(rng, 30) + (" wretchedfool" if i % 2 else ""), "x", 1, 2) for i in range(400)]
+    rows += [(None, "no id", "x", 1, 2), (7, None, "x", 1, 2), (8, "", "x", 1, 2), (9, "a" * (toxicity.MOST_BYTES + 1), "x", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string, bytes int, share int")
+    labels = spark.createDataFrame([(i, i % 2, "t") for i in range(40)], "doc_id long, toxic int, text string")
+    model = toxicity.train_on(docs, labels)
+    assert toxicity.score(docs, model).count() == 404
+    assert toxicity.keep_clean(docs, model).columns == docs.columns
+
+
 # -- tokens, packing, files
 
 

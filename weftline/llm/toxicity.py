@@ -1,11 +1,18 @@
-"""Toxicity by compression distance: windows of words are compressed with a zstandard dictionary of ordinary text and with
-one that toxic text extends; what the second saves, against calibrated thresholds, scores a document."""
+"""Toxicity by compression distance: two zstandard dictionaries are trained, one on ordinary and one on toxic text.  Each window
+of words is compressed with the ordinary one alone and with both, one behind the other; what the toxic one saves, against
+thresholds calibrated on folds, scores a document.
+
+1. The ordinary dictionary is trained on windows of ordinary texts; it is large, so that it holds most of the language.
+2. The first toxic dictionary is trained on all windows of toxic texts.  Most of what these say is ordinary, so it is trained
+   again, on the words to which what it saves is due: those without which a window saves that much less.  Savings are
+   measured on folds that the dictionaries have not seen, so that what a text repeats of itself doesn't count.
+3. Lengths are compared under zstandard's optimal parser; its greedy parsers give lengths too uneven to tell a word by.
+"""
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Callable, Iterator, Set
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,25 +25,28 @@ from pyspark.sql import functions as F
 from weftline.llm.common import pieces, text_buffer
 from weftline.llm.words import Words, lowered, spans
 
-#: Words of a window; level of compression.
-WINDOW, LEVEL = 8, 6
+#: Words of a window.
+WINDOW = 8
 #: Training takes at most this many labelled texts of each class, by a hash of doc_id, of at most this many bytes each.
 MOST_TEXTS, MOST_BYTES = 1_500, 60_000
+#: A dictionary is trained on at most this many bytes of windows.
+SAMPLE_BYTES = 6_000_000
+#: Bytes of the ordinary dictionary, and of the toxic one by round of training; characters of a segment and of what it must share.
+ORDINARY, TOXIC = 131_072, (16_384, 4_096, 4_096)
+SEGMENT, SHARED = 12, 6
 #: Folds by which the score is calibrated.
-FOLDS = 5
-#: Bytes of the ordinary dictionary; segments of toxic text that the other one has before it.
-DICTIONARY, SEGMENTS = 8_192, 120
-#: The least log-likelihood ratio of a segment: e ** 16 is nine million.
-TELLING = 16.0
-#: The share of toxic texts with a segment is more than so many times the share of ordinary ones.
-OFTENER = 2
-#: Bytes saved from which a window counts as toxic, weakly and strongly.
-SAVED = (2, 3, 4)
+FOLDS = 3
+#: Bytes saved from which a window of toxic text, and a word in it, is what the toxic dictionary is trained on again.
+TELLING = 3
+#: Bytes saved from which a window counts as toxic, from weakly to strongly.
+SAVED = (1, 2, 3, 4, 6)
+#: Columns of a document's features.
+FEATURES = 2 * len(SAVED) + 3
 
 
 @dataclass
 class Model:
-    """The dictionaries' contents and the weights of the calibrated score."""
+    """The trained dictionaries and the weights of the calibrated score."""
 
     ordinary: bytes
     toxic: bytes
@@ -65,137 +75,138 @@ def _windows(raw: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.ndarray,
     return [b" %b " % data[a:b] for a, b in zip(start[seen].tolist(), end[seen].tolist(), strict=True)], code, words.doc[first]
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    known.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
+def _length(dictionary: bytes) -> Callable[[bytes], int]:
+    """The compressed length of a window with a trained dictionary; further ones may be behind the first."""
+    how = zstandard.ZstdCompressionParameters(
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, strategy=zstandard.STRATEGY_BTULTRA, window_log=18, chain_log=17, hash_log=17, search_log=4, min_match=3, target_length=24, write_content_size=False, write_checksum=False, write_dict_id=False
+    )
+    known = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_FULLDICT)
+    known.precompute_compress(compression_params=how)
+    compress = zstandard.ZstdCompressor(compression_params=how, dict_data=known).compress
+    return lambda window: len(compress(window))
 
 
 class Scorer:
     """Features and scores of batches of texts."""
 
     def __init__(self, model: Model):
-        self.model, self.ordinary, self.toxic = model, _compressor(model.ordinary).compress, _compressor(model.toxic).compress
+        self.model = model
+        self.constant = not model.ordinary
+        if not self.constant:
+            self.ordinary, self.both = _length(model.ordinary), _length(model.ordinary + model.toxic)
 
     def features(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         found, code, of = _windows(raw, off)
-        saved = np.array([len(self.ordinary(w)) - len(self.toxic(w)) for w in found], np.int64)[code]
-        n = len(off) - 1
-        count = np.bincount(of, minlength=n)
-        columns = []
-        for least in SAVED:
-            hits = np.bincount(of[saved >= least], minlength=n)
-            columns += [np.log1p(hits), np.log((hits + 0.25) / (count + 8.0))]
-        most = np.zeros(n)
-        np.maximum.at(most, of, saved)
-        return np.column_stack([*columns, np.minimum(most, 12), np.log1p(count)])
+        saved = np.array([self.ordinary(w) - self.both(w) for w in found], np.int64)[code]
+        return summed(saved, of, len(off) - 1)
 
     def scores(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        if self.constant:
+            return np.full(len(off) - 1, 1 / (1 + math.exp(-self.model.weights[0])))
         x = (self.features(raw, off) - np.array(self.model.centre)) / np.array(self.model.scale)
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.model.weights[1:]) + self.model.weights[0], -30, 30)))
 
 
-def _segments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Words and parts of words that far more toxic texts have than ordinary ones, best first."""
-
-    def padded(word: bytes) -> bytes:
-        return b" %b " % word.strip(b".,!?;:\"'()|")
-
-    def pieces_of(word: bytes, k: int) -> set[bytes]:
-        return {word[i : i + k] for i in range(len(word) - k + 1)}
-
-    def counted(texts: list[list[bytes]], parts: Callable[[bytes], Set[bytes]]) -> Counter:
-        """In how many texts each part occurs; ``parts`` of a word are asked for once."""
-        memo: dict[bytes, Set[bytes]] = {}
-        total: Counter = Counter()
-        for words in texts:
-            found: set[bytes] = set()
-            for w in set(words):
-                if w not in memo:
-                    memo[w] = parts(padded(w)) or none
-                found |= memo[w]
-            total.update(found)
-        return total
-
-    def rate(here: Counter, there: Counter) -> list[tuple[float, int, bytes]]:
-        """Parts that toxic texts have so much more often that chance among a million parts doesn't explain it.
-
-        Rates are within each class, so how many texts of each were sampled doesn't matter."""
-        base = len(toxic) / (len(toxic) + len(ordinary))
-        out = []
-        for s, n in here.items():
-            total = n + there[s]
-            gain = n * math.log(n / total / base) + ((total - n) * math.log((total - n) / total / (1 - base)) if total > n else 0.0)
-            if n / len(toxic) > OFTENER * there[s] / len(ordinary) and gain > TELLING:
-                out.append((gain, n, s))
-        return out
-
-    none: frozenset[bytes] = frozenset()
-    least = max(4, len(toxic) // 100)
-    # parts of five bytes first: only words that hold a telling one are looked at further, which keeps the counts small
-    short: Counter = Counter()
-    for words in toxic:
-        short.update(set().union(*(pieces_of(padded(w), 5) for w in set(words))))
-    often = {s for s, n in short.items() if n >= least}
-    other = counted(ordinary, lambda w: pieces_of(w, 5) & often)
-    telling = {s for s, n in short.items() if n >= least and (n + 0.5) / (len(toxic) + 1) > 1.5 * (other[s] + 0.5) / (len(ordinary) + 1)}
-    del short
-
-    def longer(word: bytes) -> set[bytes]:
-        if telling.isdisjoint(pieces_of(word, 5)):
-            return set()
-        return {word, word[1:], word[:-1]} | pieces_of(word, 5) | pieces_of(word, 6) | pieces_of(word, 8)
-
-    here = Counter({s: n for s, n in counted(toxic, longer).items() if n >= least and len(s) >= 5})
-    rated = rate(here, counted(ordinary, lambda w: longer(w) & here.keys()))
-    rated.sort(key=lambda x: (-x[0], x[2]))
-    chosen: dict[bytes, int] = {}
-    for _, n, s in rated:
-        near = [c for c in chosen if c in s or s in c]
-        if not near and len(chosen) < SEGMENTS:
-            chosen[s] = n
-        elif len(near) == 1 and near[0] in s and n >= 0.8 * chosen[near[0]]:  # longer, and hardly rarer
-            chosen = {s if c == near[0] else c: k for c, k in chosen.items()}
-    return list(chosen)
+def summed(saved: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The features of n documents from the bytes saved on each window and its document."""
+    count = np.bincount(of, minlength=n)
+    columns = []
+    for least in SAVED:
+        hits = np.bincount(of[saved >= least], minlength=n)
+        columns += [np.log1p(hits), np.log((hits + 0.25) / (count + 8.0))]
+    most = np.zeros(n)
+    np.maximum.at(most, of, saved)
+    return np.column_stack([*columns, np.minimum(most, 12), np.log1p(count), np.bincount(of, saved, minlength=n) / np.maximum(count, 1)])
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary that zstandard trains on ``samples``, of at most ``size`` bytes and a fourth of theirs."""
+    order, taken, total = np.random.default_rng(0).permutation(len(samples)).tolist(), [], 0
+    for i in order:
+        total += len(samples[i])
+        if total > SAMPLE_BYTES:
+            break
+        taken.append(samples[i])
+    return zstandard.train_dictionary(max(512, min(size, sum(map(len, taken)) // 4)), taken, k=SEGMENT, d=SHARED).as_bytes()
+
+
+def _refined(samples: list[bytes], windows: list[bytes], size: int) -> bytes:
+    """A dictionary of ``samples``, or of ``windows`` where those are too few to train on."""
+    try:
+        return _trained(samples or windows, size)
+    except zstandard.ZstdError:
+        return _trained(windows, size)
+
+
+def _due(windows: list[bytes], ordinary: Callable[[bytes], int], both: Callable[[bytes], int]) -> list[bytes]:
+    """The words without which a window saves less by ``TELLING`` bytes."""
+    out = []
+    for window in windows:
+        words = window.split()
+        saved = ordinary(window) - both(window)
+        for i, word in enumerate(words):
+            rest = b" %b " % b" ".join(words[:i] + words[i + 1 :])
+            if saved - (ordinary(rest) - both(rest)) >= TELLING:
+                out.append(word)
+    return out
+
+
+def _weights(features: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, centre and scale of a logistic regression in which both classes weigh the same, by Newton's method."""
+    each = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    centre, scale = features.mean(0), features.std(0) + 1e-6
+    x = np.column_stack([np.ones(len(y)), (features - centre) / scale])
+    weights, penalty = np.zeros(x.shape[1]), np.diag([0.0, *[1.0] * (x.shape[1] - 1)])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        weights -= np.linalg.solve((x.T * (each * p * (1 - p))) @ x + penalty, x.T @ (each * (p - y)) + penalty @ weights)
+    return weights, centre, scale
+
+
+def _constant(share: float) -> Model:
+    return Model(b"", b"", [math.log(share / (1 - share)), *[0.0] * FEATURES], [0.0] * FEATURES, [1.0] * FEATURES)
 
 
 def train(texts: list[str], toxic: list[int]) -> Model:
-    """A model from labelled texts; with fewer than five of a class it scores every text by the share of toxic ones."""
-    known_words: dict[bytes, bytes] = {}
-    every = [[known_words.setdefault(w, w) for w in t.encode().lower().split()] for t in texts]
+    """A model from labelled texts.  With fewer than five of a class, or too little text to train a dictionary on, every
+    text is scored by the share of toxic ones."""
     y = np.array(toxic, np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
     if min(y.sum(), len(y) - y.sum()) < 5:
-        return Model(b"the", b"the", [math.log(share / (1 - share)), *[0.0] * (2 * len(SAVED) + 2)], [0.0] * (2 * len(SAVED) + 2), [1.0] * (2 * len(SAVED) + 2))
-    # the score is calibrated on texts that its dictionaries have not seen: each fold, by dictionaries of the others
-    fold = np.arange(len(every)) % FOLDS
-    features = np.zeros((len(every), 2 * len(SAVED) + 2))
-    for known in (fold != k for k in range(FOLDS)):
-        model = _dictionaries(every, y, known)
-        left = np.flatnonzero(~known)
-        for k in range(0, len(left), 200):
-            some = left[k : k + 200]
-            features[some] = Scorer(model).features(*text_buffer(pa.array([texts[i] for i in some.tolist()], pa.string())))
-    centre, scale = features.mean(0), features.std(0) + 1e-6
-    x = np.column_stack([np.ones(len(y)), (features - centre) / scale])
-    weights = np.zeros(x.shape[1])
-    penalty = np.diag([0.0, *[1.0] * (x.shape[1] - 1)])
-    for _ in range(30):  # logistic regression by Newton's method
-        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        weights -= np.linalg.solve((x.T * (p * (1 - p))) @ x + penalty, x.T @ (p - y) + penalty @ weights)
-    model = _dictionaries(every, y, fold != 0)  # as many texts as calibrated with, so that its features are spread alike
-    return Model(model.ordinary, model.toxic, weights.tolist(), centre.tolist(), scale.tolist())
+        return _constant(share)
+    found, code, of = _windows(*text_buffer(pa.array(texts, pa.string())))
+    every = [found[i] for i in code.tolist()]
+    fold, label = of % FOLDS, y[of] == 1
 
+    def windows(of_class: bool, in_fold: np.ndarray | bool = True) -> list[bytes]:
+        return [every[i] for i in np.flatnonzero((label == of_class) & in_fold).tolist()]
 
-def _dictionaries(every: list[list[bytes]], y: np.ndarray, known: np.ndarray) -> Model:
-    toxic = [w for w, t, k in zip(every, y, known, strict=True) if t and k]
-    ordinary = [w for w, t, k in zip(every, y, known, strict=True) if not t and k]
-    samples = [b" %b " % b" ".join(w[i : i + 8]) for w in ordinary for i in range(0, len(w), 64)]
     try:
-        base = zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train from: the text itself is the dictionary
-        base = b"".join(samples)[:DICTIONARY] or b"the"
-    return Model(base, b"\n".join(_segments(toxic, ordinary)) + b"\n" + base, [], [], [])
+        bases = [_trained(windows(False, fold != k), ORDINARY) for k in range(FOLDS)]
+        plain = [_length(b) for b in bases]
+        length = np.zeros(len(every), np.int64)
+        for k in range(FOLDS):
+            at = np.flatnonzero(fold == k)
+            length[at] = [plain[k](every[i]) for i in at.tolist()]
+        words: list[list[bytes]] = []  # by fold: those to which savings are due
+        for size in TOXIC:
+            saved = np.zeros(len(every), np.int64)
+            previous, words = words, []
+            for k in range(FOLDS):
+                both = _length(bases[k] + _refined(_samples(previous, k), windows(True, fold != k), size))
+                at = np.flatnonzero(fold == k)
+                saved[at] = length[at] - np.array([both(every[i]) for i in at.tolist()], np.int64)
+                words.append(_due([every[i] for i in at[label[at] & (saved[at] >= TELLING)].tolist()], plain[k], both))
+        weights, centre, scale = _weights(summed(saved, of, len(y)), y)
+        return Model(_trained(windows(False), ORDINARY), _refined(_samples(previous), windows(True), TOXIC[-1]), weights.tolist(), centre.tolist(), scale.tolist())
+    except zstandard.ZstdError:  # too few samples to train on
+        return _constant(share)
+
+
+def _samples(words: list[list[bytes]], without: int = -1) -> list[bytes]:
+    """The words of all folds but one, eight to a sample."""
+    flat = [w for k, some in enumerate(words) if k != without for w in some]
+    return [b" %b " % b" ".join(flat[i : i + 8]) for i in range(0, len(flat), 8)]
 
 
 def train_on(docs: DataFrame, labels: DataFrame) -> Model:
@@ -204,11 +215,15 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model:
     At most ``MOST_TEXTS`` texts of each class, those of the smallest hash of doc_id, of at most ``MOST_BYTES`` bytes,
     come to the driver.  Null labels, ids and texts teach nothing.
     """
-    known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.join(docs.select("doc_id", F.octet_length("text").alias("bytes")).where(f"bytes between 1 and {MOST_BYTES}").select("doc_id").distinct(), "doc_id")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known.join(docs.where(F.octet_length("text").between(1, MOST_BYTES)).select("doc_id").distinct(), "doc_id")
     chosen = [known.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_TEXTS) for k in (0, 1)]
     rows = chosen[0].union(chosen[1])
-    found = docs.join(F.broadcast(rows), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    # a doc_id may be repeated any number of times: one text of each is taken before anything comes to the driver
+    texts = docs.where(F.octet_length("text").between(1, MOST_BYTES)).join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    found = texts.toPandas().sort_values("doc_id")
     return train(found.text.tolist(), found.toxic.astype(int).tolist())
 
 
