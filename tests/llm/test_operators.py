@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from conftest import EXTRA, WORD, sentence
 from tokenizers import Tokenizer
 
@@ -406,6 +407,44 @@ def test_fingerprints(docs, corpus, empty, repeated):
     assert fingerprints.fingerprints(empty).count() == 0 and len(fingerprints.fingerprints(repeated).collect()) == 7
 
 
+def simhash(text):
+    """By the definition: words' neighbouring pairs vote on 64 signed bits."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+
+    def hashed(*parts):
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64(x.encode(), seed=seed).intdigest()
+        return seed
+
+    terms = [(hashed(a, b), min(15, len(a) + len(b))) for a, b in zip(words, words[1:], strict=False)] if len(words) > 1 else [(hashed(w), min(15, len(w))) for w in words]
+    votes = [sum(w if h >> k & 1 else -w for h, w in terms) for k in range(64)]
+    return sum(1 << k for k, v in enumerate(votes) if v > 0)
+
+
+def test_fingerprints_by_definition(docs, corpus):
+    got = by_id(fingerprints.fingerprints(docs))
+    prints = {i: simhash(t or "") for i, t in corpus.items()}
+    for i, r in got.items():
+        assert bits(r.fingerprint) == prints[i], i
+        assert r.n_near == (sum((prints[i] ^ p).bit_count() <= 3 for p in prints.values()) - 1 if i % 50 == 0 else None)
+
+
+def test_fingerprints_of_far_null_and_repeated_ids(spark):
+    rng = random.Random(6)
+    ids = [-9 * 10**18, 5, 9 * 10**18, None, None, 5, 5, -1]
+    rows = [(i, sentence(rng, 20)) for i in ids] + [(5, "same words here")] * 50 + [(None, "no id")] * 30
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    after = sorted(r.next_id for r in got if r.next_id is not None)
+    assert after == sorted(i for i, _ in rows if i is not None)  # each row follows one other
+    by = {r.edited_sha256: r for r in got}
+    last, first = next(t for i, t in rows if i == 9 * 10**18), {t for i, t in rows if i is None}
+    assert any(sha(last[: len(last) - len(last) // 4] + t[: len(last) // 4]) in by for t in first)
+    one = fingerprints.fingerprints(spark.createDataFrame([(7, "a b c d e f g h")], "doc_id long, text string")).first()
+    assert one.next_id == 7 and one.near_next == 1.0
+
+
 def test_neighbours_brute_force(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(40)]
