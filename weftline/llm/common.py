@@ -5,18 +5,21 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of characters other than these: space, and the controls 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a task handles at a time; a longer document is handled alone.
 PIECE_BYTES = 1_000_000
+#: Bytes of an Arrow batch that Spark gives to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 _own_dir: list[str] = []
 _written: list[str] = []
@@ -79,6 +82,17 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PI
                 yield batch.slice(a, b - a)
 
 
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of about ``BATCH_BYTES``: by default a batch is 10,000 rows, however long.
+
+    The limit is a setting of the session, which stays as it is where it is lower already."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = (spark.conf.get(name) or "").rstrip("b")
+    if not said.isdigit() or int(said) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node of ``edges``: label is the smallest node that can be reached.
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import pieces, text_buffer
+from weftline.llm.common import in_batches, pieces, text_buffer
 from weftline.llm.words import U, Words, lowered, spans, windows
 
 # Statements by which texts and files name their licence.
@@ -203,4 +203,4 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or default_model()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_judge(model), "doc_id long, license string, confidence double, licenses string, n_confirmed long, n_unconfirmed long, n_paragraphs long")
+    return in_batches(docs, _judge(model), "doc_id long, license string, confidence double, licenses string, n_confirmed long, n_unconfirmed long, n_paragraphs long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import components, pieces, settle, text_buffer
+from weftline.llm.common import components, in_batches, pieces, settle, text_buffer
 from weftline.llm.words import U, Words, lowered, mixed, signed, windows
 
 #: Values that a sketch retains.
@@ -30,6 +30,8 @@ SKETCH = 64
 SHARED = 33
 #: Classes of a list up to which it is compared pair by pair, and of a block where it is longer.
 SHORT, BLOCK = 64, 256
+#: Pairs of one class that are confirmed together.
+TOGETHER = 512
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
@@ -44,11 +46,16 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray
     return [np.array([short[i]], U) if i in short else np.unique(whole[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
 
+def _node(s: np.ndarray) -> bytes | None:
+    """The key of a class: 128 bits of its set; null for an empty set."""
+    return np.array([mixed(s).sum(dtype=U), mixed(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)]).tobytes() if len(s) else None
+
+
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = shingle_sets(*text_buffer(batch.column("text")), size)
-            keys = [None if not len(s) else np.array([mixed(s).sum(dtype=U), mixed(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)]).tobytes() for s in sets]
+            keys = [_node(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([signed(s[:SKETCH]) for s in sets], pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "node", "sketch"],
@@ -59,13 +66,20 @@ def _sketch(size: int):
 
 def _confirm(size: int, similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text_b"):
-            left = shingle_sets(*text_buffer(batch.column("text_a")), size)
-            right = shingle_sets(*text_buffer(batch.column("text_b")), size)
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
-            union = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - both
-            keep = pa.array(100 * both >= similarity * union)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+        """Rows come in order: a text of the class a (b is null), then those of the classes b to compare with it."""
+        at, whole = None, np.zeros(0, U)
+        for batch in pieces(batches):
+            found: list[tuple[bytes, bytes]] = []
+            for a, b, own in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), shingle_sets(*text_buffer(batch.column("text")), size), strict=True):
+                if b is None:
+                    at, whole = a, own
+                    continue
+                if a != at:
+                    raise ValueError("the text to compare with is missing")
+                both = len(np.intersect1d(whole, own, assume_unique=True))
+                if 100 * both >= similarity * (len(whole) + len(own) - both):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
     return run
 
@@ -77,9 +91,15 @@ def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, simil
     union = F.slice(F.array_sort(full), 1, SKETCH)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     likely = F.when(F.size(full) < SKETCH, 100 * shared >= similarity * F.size(full)).otherwise(shared >= SHARED * similarity / 80 * F.size(union) / SKETCH)
-    kept = pairs.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b")
-    text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    return kept.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, similarity), "a binary, b binary")
+    kept = settle(pairs.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b"))
+    # the text of a comes once for each TOGETHER of its pairs, which are a group of their own
+    shares = kept.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("shares"))
+    dealt = kept.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"))
+    text = lambda x: texts.select(F.col("node").alias(x), "text")
+    others = dealt.join(text("b"), "b").select("a", "share", "b", "text")
+    own = dealt.select("a", "share").distinct().join(text("a"), "a").select("a", "share", F.lit(None).cast("binary").alias("b"), "text")
+    rows = others.union(own).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
+    return in_batches(rows, _confirm(size, similarity), "a binary, b binary")
 
 
 def _compare(size: int, similarity: int):
@@ -102,9 +122,7 @@ def _compare(size: int, similarity: int):
             holds = np.zeros((len(sets), 4096), np.float32)
             holds[of[a:b], code[a:b] - low] = 1
             both += holds @ holds.T
-        linked = 100 * both >= similarity * (n[:, None] + n[None, :] - both)
-        if blocks.min() != blocks.max():
-            linked &= blocks[:, None] != blocks[None, :]
+        linked = (100 * both >= similarity * (n[:, None] + n[None, :] - both)) & (blocks[:, None] != blocks[None, :])
         parent = {x: x for x in labels}
 
         def root(x: bytes) -> bytes:
@@ -126,17 +144,23 @@ def _compare(size: int, similarity: int):
 def _links_in_blocks(lists: DataFrame, texts: DataFrame, size: int, similarity: int) -> DataFrame:
     """Links between the members of the long ``lists`` (v, node, pivot, label) whose labels differ, enough to join them.
 
-    Lists that share members are one cluster; a cluster's classes are dealt to blocks, and each pair of blocks is compared
-    in one task, on the full sets."""
+    Lists that share members are one cluster.  All its classes are dealt to blocks, and those outside its largest component
+    to blocks of their own; each block of the first kind is compared with each of the second in one task, on the full sets.
+    So n classes of which m are outside make about 2 * n * m / ``BLOCK`` rows."""
     mixed_lists = lists.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("v")
     open_lists = settle(lists.join(mixed_lists, "v").select("node", "pivot", "label").distinct())
     clusters = components(open_lists.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     members = clusters.select("node", F.col("label").alias("cluster")).join(open_lists.select("node", "label").distinct(), "node")
-    sizes = clusters.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("label", "cluster")
-    dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "text")
-    return pairs.groupBy("cluster", "i", "j").applyInArrow(_compare(size, similarity), "a binary, b binary")
+    # pairs within the largest component of a cluster need no link: only the others are compared with all
+    counted = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counted.groupBy("cluster").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("outside"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    dealt = members.join(sizes.select("cluster", "main", blocks("all").alias("all"), blocks("outside").alias("outside")), "cluster").withColumn("h", F.xxhash64("node"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda n: F.pmod("h", F.col(n)).cast("int")
+    whole = dealt.where("outside > 0").select("cluster", block("all").alias("i"), every("outside").alias("j"), F.lit(0).alias("block"), "node", "label")
+    outside = dealt.where("label <> main").select("cluster", every("all").alias("i"), block("outside").alias("j"), F.lit(1).alias("block"), "node", "label")
+    return whole.union(outside).join(texts, "node").groupBy("cluster", "i", "j").applyInArrow(_compare(size, similarity), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80) -> DataFrame:
@@ -151,7 +175,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80) -> Dat
     if similarity < 80:
         raise ValueError("sketches are sized for a similarity of 80 or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed_docs = settle(docs.mapInArrow(_sketch(size), "doc_id long, n_shingles long, node binary, sketch array<long>"))
+    signed_docs = settle(in_batches(docs, _sketch(size), "doc_id long, n_shingles long, node binary, sketch array<long>"))
     sets = settle(signed_docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
 
     # how many of the rarest values suffice: all but what any partner must share, and one
@@ -166,7 +190,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80) -> Dat
     lists = settle(lists.join(pivots, "v"))
 
     listed = lists.select("node").distinct().join(sets.select("node", "rep"), "node")
-    texts = settle(_own_text(docs.join(listed, docs.doc_id.eqNullSafe(listed.rep)).select("node", "text"), size))
+    named_reps = listed.select("rep").distinct()
+    texts = settle(_own_text(docs.join(named_reps, docs.doc_id.eqNullSafe(named_reps.rep), "left_semi"), listed, size))
     star = lists.where("node <> pivot").groupBy("pivot", "node").agg(F.first("n").alias("n")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     links = settle(_links(star, sets, texts, size, similarity))
     labels = components(links)
@@ -185,13 +210,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80) -> Dat
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _own_text(texts: DataFrame, size: int) -> DataFrame:
-    """One text for each node: where a doc_id is repeated with other texts, only a text that has the node's set."""
+def _own_text(docs: DataFrame, listed: DataFrame, size: int) -> DataFrame:
+    """One text for each node of ``listed``, by the set of the text: a doc_id may have other texts, and many rows none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = shingle_sets(*text_buffer(batch.column("text")), size)
-            keys = [None if not len(s) else np.array([mixed(s).sum(dtype=U), mixed(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)]).tobytes() for s in sets]
-            yield batch.filter(pa.array([k == n for k, n in zip(keys, batch.column("node").to_pylist(), strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), batch.column("text")], ["node", "text"])
 
-    return texts.mapInArrow(run, "node binary, text string").dropDuplicates(["node"])
+    found = in_batches(docs.select("text"), run, "node binary, text string")
+    return found.join(listed.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))

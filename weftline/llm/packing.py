@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import pieces, text_buffer
-from weftline.llm.tokens import encoder
+from weftline.llm.common import in_batches, pieces, text_buffer
+from weftline.llm.tokens import Encoder
 
 #: Tokens of a group; a group is packed by itself, inside the task that reads its documents.
 GROUP = 1 << 21
@@ -62,8 +62,9 @@ def _packed(docs: list, ids: list[np.ndarray], capacity: int, first: int) -> tup
 def _pack(path: str | None, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, docs, ids, have = TaskContext.get().partitionId() << 40, [], [], 0
+        encoder = Encoder(path)
         for batch in pieces(batches):
-            for doc, found in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(*text_buffer(batch.column("text"))), strict=True):
+            for doc, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(*text_buffer(batch.column("text"))), strict=True):
                 docs.append(doc)
                 ids.append(np.append(found, np.uint32(end)))
                 have += len(found) + 1
@@ -91,4 +92,4 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, path: str | None = Non
         raise ValueError("capacity must be a power of two")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.mapInArrow(_pack(path, capacity, end), schema)
+    return in_batches(docs, _pack(path, capacity, end), schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import pieces, text_buffer
+from weftline.llm.common import in_batches, pieces, text_buffer
 from weftline.llm.words import U, Words, is_space, mixed, spans, windows
 
 #: n-gram length: the largest share of a text's word characters that duplicated n-grams of it may cover.
@@ -98,7 +98,7 @@ def quality(docs: DataFrame) -> DataFrame:
     shares = ["dup_line_chars", *(f"dup_{n}_chars" for n in COVERAGE)]
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
     schema = ", ".join(["doc_id long", *(f"{x} long" for x in longs), "dup_line_chars double", "n_repeat_words long", *(f"{x} double" for x in shares[1:])])
-    found = docs.mapInArrow(_measure, schema)
+    found = in_batches(docs, _measure, schema)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     within = F.col("dup_line_chars") <= LINE_COVERAGE
     for n, most in COVERAGE.items():

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import pieces, settle, text_buffer
+from weftline.llm.common import in_batches, pieces, settle, text_buffer
 from weftline.llm.words import U, Words, mixed, running, signed, windows
 
 #: Words of an anchor.
@@ -173,7 +173,7 @@ def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
     none = F.lit(-(1 << 63))  # stands for a null doc_id in joins
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.coalesce("doc_id", none).alias("id"), F.xxhash64("text").alias("sum"), "text")
-    found = docs.mapInArrow(_find(size), "doc_id long, id long, sum long, n_words long, sha string, anchors array<long>, contexts array<long>, at array<int>")
+    found = in_batches(docs, _find(size), "doc_id long, id long, sum long, n_words long, sha string, anchors array<long>, contexts array<long>, at array<int>")
     found = settle(found.withColumn("row", F.monotonically_increasing_id()))  # written once, so a row's number stays
     each = found.select("row", F.explode(F.arrays_zip("anchors", "contexts", "at")).alias("x")).select("row", F.col("x.anchors").alias("v"), F.col("x.contexts").alias("c"), F.col("x.at").alias("at"))
     repeated = each.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1").select("v", (F.col("low") == F.col("high")).alias("closed"))
@@ -183,11 +183,11 @@ def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
     marks = settle(marks.join(found.select("row", "id", "sum"), "row").drop("row").dropDuplicates(["id", "sum"]))
 
     work = settle(docs.join(marks, ["id", "sum"]).select("doc_id", "marks", "text").withColumn("row", F.monotonically_increasing_id()))
-    doubtful = settle(work.mapInArrow(_doubtful(size), "row long, at int, window long"))
+    doubtful = settle(in_batches(work, _doubtful(size), "row long, at int, window long"))
     twice = doubtful.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
     twice = settle(twice)  # as above: a very frequent window is split
     extra = doubtful.join(twice, "window", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("found"))
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    cut = work.join(extra, "row", "left").mapInArrow(_cut(size), columns)
+    cut = in_batches(work.join(extra, "row", "left"), _cut(size), columns)
     rest = found.join(marks.select("id", "sum"), ["id", "sum"], "left_anti")
     return cut.unionByName(rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")))

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import pieces, scratch_dir, settle, text_buffer
-from weftline.llm.tokens import encoder
+from weftline.llm.common import in_batches, pieces, scratch_dir, settle, text_buffer
+from weftline.llm.tokens import Encoder
 
 #: Bits of the longest code, ids between checkpoints, ids of a shard (a longer document is one shard).
 LONGEST, STRETCH, SHARD = 20, 256, 1 << 17
@@ -110,13 +110,14 @@ class Decoder:
 def _tokenized(path: str | None, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, at, docs, ids, have = TaskContext.get().partitionId(), 0, 0, [], [], 0
+        encoder = Encoder(path)
 
         def shard() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "at": at, "docs": docs, "sizes": [len(x) for x in ids], "ids": np.concatenate(ids).astype("<u4").tobytes() if max(x.max() for x in ids) > 65535 else b"2" + np.concatenate(ids).astype("<u2").tobytes()}], schema)
 
         schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("at", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary())])
         for batch in pieces(batches):
-            for doc, found in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(*text_buffer(batch.column("text"))), strict=True):
+            for doc, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(*text_buffer(batch.column("text"))), strict=True):
                 if ids and have + len(found) + 1 > SHARD:
                     yield shard()
                     seq, at, docs, ids, have = seq + 1, at + have, [], [], 0
@@ -168,13 +169,13 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     ordered = keyed.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
-    ids = settle(ordered.mapInArrow(_tokenized(path, end), "part long, seq long, at long, docs array<long>, sizes array<long>, ids binary"), compression="zstd")
-    counts = ids.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    ids = settle(in_batches(ordered, _tokenized(path, end), "part long, seq long, at long, docs array<long>, sizes array<long>, ids binary"), compression="zstd")
+    counts = in_batches(ids.select("ids"), _counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(max((r.id for r in counts), default=-1) + 1, np.int64)
     for r in counts:
         total[r.id] = r.n
     lengths = code_lengths(total)
-    coded = ids.mapInArrow(_coded(lengths), "part long, seq long, at long, docs array<long>, sizes array<long>, bits binary, checkpoints array<long>")
+    coded = in_batches(ids, _coded(lengths), "part long, seq long, at long, docs array<long>, sizes array<long>, bits binary, checkpoints array<long>")
     coded.write.option("compression", "zstd").parquet(os.path.join(folder, "shards"))
     book = [(i, int(n)) for i, n in enumerate(lengths.tolist()) if n]
     spark.createDataFrame(book, "id long, length int").coalesce(1).write.parquet(os.path.join(folder, "codebook"))
@@ -213,7 +214,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(W.partitionBy().orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = settle(sums.select("part", before.alias("before")))
     parts = F.broadcast(parts) if parts.count() <= BROADCAST_PARTS else parts
-    found = shards.mapInArrow(_decoded(lengths), "doc_id long, part long, at long, n_tokens long, ids binary")
+    found = in_batches(shards, _decoded(lengths), "doc_id long, part long, at long, n_tokens long, ids binary")
     return found.join(parts, "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
@@ -228,4 +229,4 @@ def token_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     folder = os.path.join(scratch_dir(spark), f"weftline-{uuid.uuid4().hex}")
     write_token_files(docs, folder, path)
-    return read_token_files(spark, folder).mapInArrow(_summed, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_batches(read_token_files(spark, folder), _summed, "doc_id long, start long, n_tokens long, ids_crc32 long")

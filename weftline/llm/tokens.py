@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -36,20 +37,25 @@ def _default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The tokenizer of each file, whether its pre-tokens are found here, and its marks: read once in each Python worker.
+_libraries: dict[str, tuple[Any, bool, list[bytes]]] = {}
+
+
 class Encoder:
-    """Encodes batches of texts; the ids of distinct pre-tokens are kept up to ``KEPT``."""
+    """Encodes batches of texts; the ids of distinct pre-tokens are kept up to ``KEPT``, for as long as the encoder: a task."""
 
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         path = path or _default_path()
-        self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            said = json.load(f)
-        pre = said.get("pre_tokenizer") or {}
-        self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not said.get("normalizer") and said["model"].get("type") == "BPE"
-        self.marks = [t["content"].encode() for t in said.get("added_tokens", [])]
+        if path not in _libraries:
+            with open(path, encoding="utf-8") as f:
+                said = json.load(f)
+            pre = said.get("pre_tokenizer") or {}
+            plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not said.get("normalizer") and said["model"].get("type") == "BPE"
+            _libraries[path] = (Tokenizer.from_file(path), plain, [t["content"].encode() for t in said.get("added_tokens", [])])
+        self.library, self.plain, self.marks = _libraries[path]
         self.known = pd.Index(np.zeros(0, np.uint64))  # hashes of kept pre-tokens, by their place
         self.recent: dict[int, int] = {}  # those that are not yet in it
         self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -157,13 +163,3 @@ class Encoder:
             for i, x in zip(odd_rows, self._library([data[off[i] : off[i + 1]].decode() for i in odd_rows]), strict=True):
                 result[i] = x
         return result
-
-
-_encoders: dict[str | None, Encoder] = {}
-
-
-def encoder(path: str | None = None) -> Encoder:
-    """The encoder of a file, made once in each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import pieces, text_buffer
+from weftline.llm.common import in_batches, pieces, text_buffer
 from weftline.llm.words import Words, lowered, spans
 
 #: Words of a window.
@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer.scores(*text_buffer(batch.column("text"))), pa.float64())], ["doc_id", "score"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = docs.mapInArrow(run, "doc_id long, score double")
+    found = in_batches(docs, run, "doc_id long, score double")
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -252,4 +252,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
         for batch in pieces(batches):
             yield batch.filter(pa.array(scorer.scores(*text_buffer(batch.column("text"))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

@@ -10,6 +10,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+#: Powers that a worker keeps; those for a longer text are made again.
+KEPT_POWERS = 1 << 21
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -21,7 +23,8 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
         have = np.full(max(n, 1 << 16), U(step))
         have[0] = 1
         have = np.multiply.accumulate(have)
-        _powers[base, inverse] = have
+        if n <= KEPT_POWERS:
+            _powers[base, inverse] = have
     return have[:n]
 
 
