@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from weftline.functions import ieee, special
 from weftline.operators import convolve, scan, shift
 from weftline.operators.frame import IDX, settle
+from weftline.plans.calls import Call, digest, reads
 
 log = logging.getLogger(__name__)
 
@@ -62,25 +63,27 @@ def register(name: str, build: Callable[[Evaluator, list[Any]], Any]) -> None:
 
 
 def parse(text: str) -> list[Any]:
-    """A program from JSON; ``{"$ref": "#/0/1"}`` stands for the call at that path."""
+    """A program from JSON; ``{"$ref": "#/0/1"}`` stands for the call at that path, which is built once."""
     root = json.loads(text)
+    built: dict[str, Any] = {}
 
     def at(path: str) -> Any:
-        node = root
-        for step in path.split("/")[1:]:
-            node = node[int(step)]
-        return node
-
-    def whole(node: Any) -> Any:
+        if path not in built:
+            node = root
+            for step in path.split("/")[1:]:
+                node = node[int(step)]
+            built[path] = whole(node, path)
+        return built[path]
+
+    def whole(node: Any, path: str) -> Any:
         if isinstance(node, dict) and "$ref" in node:
-            return whole(at(node["$ref"]))
-        return [whole(x) for x in node] if isinstance(node, list) else node
-
-    return whole(root)
-
+            return at(node["$ref"])
+        if not isinstance(node, list):
+            return node
+        items = [at(f"{path}/{i}") for i in range(len(node))]
+        return Call(items) if items and isinstance(items[0], str) else items
 
-def _key(node: Any) -> Any:
-    return tuple(_key(x) for x in node) if isinstance(node, list | tuple) else (type(node).__name__, node)
+    return whole(root, "#")
 
 
 _SCANS: dict[str, Callable[..., DataFrame]] = {"cum_sum": scan.cumulative_sum, "cum_sum_clamped": scan.clamped_sum, "cum_prod": scan.cumulative_product, "cum_log_sum_exp": scan.log_sum_exp, "fwd_fill_zero": scan.fill_zeros, "monotonify": scan.running_maximum, "slow_pass_zero": scan.slow_pass_zero}
@@ -104,7 +107,7 @@ class Evaluator:
             return Scalar(math.nan, "number")
         if isinstance(node, int | float):
             return Scalar(float(node), "number")
-        key = _key(node)
+        key = digest(node)
         if key not in self.made:
             self.made[key] = self.call(node[0], list(node[1:]))
         return self.made[key]
@@ -301,7 +304,7 @@ class Evaluator:
             raise ProgramError("a kernel has at least two taps")
         x = self.series(self.value(x), "conv")
         # a kernel that needs no input is evaluated over as many rows as it has taps; another over this frame
-        if self.needs_input(kernel):
+        if reads(kernel):
             k = self.series(self.value(kernel), "conv")
             values = convolve.kernel_values(self.df, k.column, n, self.by)
         else:
@@ -312,9 +315,6 @@ class Evaluator:
             raise ProgramError("conv takes a kernel and a series of one kind")
         return self.over_rows(x, lambda df, c, out: convolve.convolve(df, c, values, out, bool(backfill), self.by))
 
-    def needs_input(self, node: Any) -> bool:
-        return isinstance(node, list | tuple) and (node[0] in ("input", "drawn") or any(self.needs_input(a) for a in node[1:]))
-
 
 def evaluate(df: DataFrame, program: list[Any] | str, by: Sequence[str] = (), drawings: dict[str, DataFrame] | None = None) -> tuple[DataFrame, Sinks]:
     """The frame with all columns that ``program`` needs, and its sinks.

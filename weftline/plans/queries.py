@@ -1,7 +1,7 @@
 """Queries of the time-series operators over ``events``, each with SQL that gives the same rows.
 
 The series x and y are made from ``events`` in order of event_id, with NaN and 0 mixed in; z is the result, rounded to six
-places, null where it is not finite.
+places, or to 8 to 11 digits from 1e5 on, null where it is not finite.
 """
 
 from __future__ import annotations
@@ -31,8 +31,21 @@ def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed(events, ["event_id"]).select(IDX, "x", "y", "w")
 
 
+#: Below each size, what a value is multiplied by, or divided by if it is larger, before it is rounded to a whole number: so
+#: that a value of any size keeps fewer digits than a double has.
+_ROUNDED = ((1e5, 1e6, 1.0), (1e8, 1e3, 1.0), (1e11, 1.0, 1.0), (1e14, 1.0, 1e3), (1e17, 1.0, 1e6), (1e20, 1.0, 1e9))
+
+
 def _tidy(c: Column) -> Column:
-    return F.when(finite(c), F.floor(c * 1e6 + 0.5).cast("double") / 1e6)
+    out = c
+    for below, up, down in reversed(_ROUNDED):
+        out = F.when(F.abs(c) < below, F.floor(c * up / down + 0.5).cast("double") / up * down).otherwise(out)
+    return F.when(finite(c), out)
+
+
+def _tidy_sql(z: str) -> str:
+    rounded = " ".join(f"WHEN abs({z}) < {below} THEN floor({z} * {up} / {down} + 0.5) / {up} * {down}" for below, up, down in _ROUNDED)
+    return f"CASE WHEN NOT isfinite({z}) THEN NULL {rounded} ELSE {z} END"
 
 
 def _result(df: DataFrame) -> DataFrame:
@@ -44,7 +57,7 @@ def _query(node: n.Node) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _sql(z: str, source: str = "b", more: str = "") -> str:
-    return f"WITH RECURSIVE {_BASE}{more}, r AS (SELECT idx, {z} AS z FROM {source}) SELECT idx, CASE WHEN isfinite(z) THEN floor(z * 1e6 + 0.5) / 1e6 END AS z FROM r"
+    return f"WITH RECURSIVE {_BASE}{more}, r AS (SELECT idx, {z} AS z FROM {source}) SELECT idx, {_tidy_sql('z')} AS z FROM r"
 
 
 X, Y, W = n.source("x"), n.source("y"), n.source("w")
@@ -123,10 +136,25 @@ def _rect(taps: int) -> n.Window:
 _GAUSS = n.Window("gauss", n.i64(100), n.norm(n.gaussian(n.f64(30.0)), n.i64(100)))
 _GAUSS_SQL = "exp(-power((a.idx - k.idx) / 30.0, 2)) / (SELECT sum(exp(-power(i / 30.0, 2))) FROM range(100) t(i))"
 _RUN_LENGTH = m.runs(Y, 1)
+# erf(x) = exp(-x^2) * sum of x^(2n + 1) / gamma(n + 3/2): all terms have one sign
+_ERF = "(exp(-x * x) * (SELECT sum(power(x, 2 * i + 1) / gamma(i + 1.5)) FROM range(100) t(i)))"
+_SIGNS = ", c AS (SELECT idx, sum(CASE WHEN isnan(y) THEN 0 ELSE sign(y) END) OVER (ORDER BY idx) AS s FROM b)"
+
+
+def _states(rate: float, states: dict[str, str], source: str) -> str:
+    """Common tables ``s`` (idx and each state): moving sums that decay by ``rate``, over rows of ``source``."""
+    first = ", ".join(f"({v}) * {rate}::DOUBLE AS {k}" for k, v in states.items())
+    after = ", ".join(f"s.{k} * (1 - {rate}::DOUBLE) + ({v}) * {rate}::DOUBLE" for k, v in states.items())
+    return f", d AS ({source}), s AS (SELECT idx, {first} FROM d WHERE idx = 0 UNION ALL SELECT d.idx, {after} FROM s JOIN d ON d.idx = s.idx + 1)"
+
+
+_ZERO_Y, _ZERO_X = (f"CASE WHEN isnan({c}) THEN 0::DOUBLE ELSE {c} END" for c in "yx")
+_FIT = _states(1 / 50, {"sx": "t", "sy": "v", "sxy": "t * v", "sxx": "t * t"}, f"SELECT idx, idx * 1e-3::DOUBLE AS t, {_ZERO_Y} AS v FROM b")
+_LAGGED = _states(1 / 100, {"sxy": "u * v", "sxx": "u * u"}, f"SELECT idx, coalesce(lag({_ZERO_X}) OVER (ORDER BY idx), 0::DOUBLE) AS u, {_ZERO_Y} AS v FROM b")
 
 _OTHER: dict[str, tuple[n.Node, str | None]] = {
-    "erf": (n.erf(X), None),
-    "erfc": (n.erfc(X), None),
+    "erf": (n.erf(X), _sql(_ERF)),
+    "erfc": (n.erfc(X), _sql(f"1 - {_ERF}")),
     "input": (W, _sql(f"coalesce(last_value(w IGNORE NULLS) OVER (ORDER BY idx), {_NAN})")),
     "to_ts": (n.add(X, n.to_ts(n.f64(2.5))), _sql("x + 2.5")),
     "to_ts_array": (n.add(X, n.to_ts(n.arr([n.f64(v) for v in (5, 6, 7, 8, 9)]))), _sql("x + CASE WHEN idx < 5 THEN idx + 5 ELSE 0 END")),
@@ -155,12 +183,10 @@ _OTHER: dict[str, tuple[n.Node, str | None]] = {
     "conv_rect_backfill": (n.conv(_rect(10), X, True), _conv_sql("0.1", 10, True)),
     "conv_gaussian": (n.conv(_GAUSS, n.nan_to(X, n.f64(0.0))), _conv_sql(_GAUSS_SQL, 100, False).replace(_X, f"CASE WHEN isnan({_X}) THEN 0 ELSE {_X} END")),
     "conv_gaussian_backfill": (n.conv(_GAUSS, X, True), _conv_sql(_GAUSS_SQL, 100, True)),
-    "regression": (m.Regression(n.seq(n.f64(1e-3)), n.nan_to(Y, n.f64(0.0)), lambda s: m.decay(50, s)).slope, None),
-    "runs": (_RUN_LENGTH, None),
+    "regression": (m.Regression(n.seq(n.f64(1e-3)), n.nan_to(Y, n.f64(0.0)), lambda s: m.decay(50, s)).slope, _sql("(sxy - sx * sy) / (sxx - sx * sx)", "s", _FIT)),
+    "runs": (_RUN_LENGTH, _sql("(s - least(0, min(s) OVER (ORDER BY idx))) - (-s - least(0, min(-s) OVER (ORDER BY idx)))", "c", _SIGNS)),
     "significance": (m.significance(n.nan_to(Y, n.f64(0.0)), [20, 40], lambda s: n.window_simple(n.f64(float(s)))), None),
-    "simulate": (m.simulate(n.fwd_fill_zero(Y), n.sgn(X))["value"], None),
-    "simulate_maker": (m.simulate_maker(n.sub(Y, n.f64(0.1)), n.add(Y, n.f64(0.1)), n.sub(n.fwd_fill_zero(Y), n.f64(0.05)), n.add(n.fwd_fill_zero(Y), n.f64(0.05)), latency=2)["value"], None),
-    "solve": (m.coefficients([n.nan_to(X, n.f64(0.0))], n.nan_to(Y, n.f64(0.0)), 100, 1)[0], None),
+    "solve": (m.coefficients([n.nan_to(X, n.f64(0.0))], n.nan_to(Y, n.f64(0.0)), 100, 1)[0], _sql("sxy / sxx", "s", _LAGGED)),
 }
 
 
@@ -190,9 +216,8 @@ def oracle_sql() -> dict[str, str]:
     found = {f"series_{k}": _sql(z.format(nan=_NAN)) for k, z in _UNARY.items()}
     found |= {f"series_{k}": _sql(z.format(nan=_NAN, either=_EITHER)) for k, z in _BINARY.items()}
     found |= {f"series_{k}": sql for k, (_, sql) in _OTHER.items() if sql}
-    tidy = lambda z: f"CASE WHEN isfinite({z}) THEN floor({z} * 1e6 + 0.5) / 1e6 END"
     per_user = f"SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, event_id, {_X} AS x FROM events"
-    found["series_by_user"] = f"WITH u AS ({per_user}), r AS (SELECT user_id, idx, sum({_F}) OVER (PARTITION BY user_id ORDER BY idx) AS total, lag(x, 2) OVER (PARTITION BY user_id ORDER BY idx) AS before FROM u) SELECT user_id, idx, {tidy('total')} AS total, {tidy('before')} AS before FROM r"
+    found["series_by_user"] = f"WITH u AS ({per_user}), r AS (SELECT user_id, idx, sum({_F}) OVER (PARTITION BY user_id ORDER BY idx) AS total, lag(x, 2) OVER (PARTITION BY user_id ORDER BY idx) AS before FROM u) SELECT user_id, idx, {_tidy_sql('total')} AS total, {_tidy_sql('before')} AS before FROM r"
     found["series_meter"] = f"SELECT * FROM ({_sql('x * x')}) WHERE idx IN (3, 100, 500)"
     found["series_plot_sample"] = f"SELECT * FROM ({_sql('x * x')}) WHERE idx >= 100 AND idx < 900 AND (idx - 100) % 8 = 0"
     return found

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
 from collections.abc import Callable, Sequence
@@ -10,6 +9,8 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+from weftline.plans.calls import Call, digest
+
 Node = Any
 
 
@@ -23,7 +24,7 @@ class Window:
 
 
 def call(name: str, *args: Node) -> Node:
-    return (name, *args)
+    return Call((name, *args))
 
 
 def constant(x: Node) -> float | None:
@@ -233,12 +234,6 @@ def raised(x: Node, factor: float, offset: float = 10.3) -> Node:
 # -- text
 
 
-def digest(node: Node) -> str:
-    """A sha256 of a call that depends on its structure alone."""
-    parts = [digest(x) if isinstance(x, tuple | list) else json.dumps(x) for x in node]
-    return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
-
-
 def dumps(program: Sequence[Node]) -> str:
     """JSON in which a call that was written before is a ``$ref`` to its place."""
     places: dict[Any, str] = {}
