@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,14 @@ _own: list[str] = []
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder of ``spark.checkpoint.dir`` (a local one only where unset) and read it back."""
+    """Write ``df`` to the shared folder of ``spark.checkpoint.dir`` and read it back.
+
+    Where that is unset, a local folder serves a local master; a cluster's executors wouldn't share one, so it is an error."""
     spark: SparkSession = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="weftline-frame-"))
         base = f"file://{_own[0]}"
@@ -41,18 +46,22 @@ def settle(df: DataFrame) -> DataFrame:
 def indexed(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``df`` with ``idx``: the place of each row by ``order``, from 0.
 
-    With ``by``, places are counted in each key, by one window per key.  Without, rows are range-partitioned and sorted,
-    numbered inside their partition, and offset by the rows of the partitions before: no task sees more than its part.
+    Rows are range-partitioned and sorted, numbered inside their partition, and offset by the rows of the partitions before:
+    no task sees more than its part.  With ``by``, the place of a key's first row is taken off.
     """
-    if by:
-        return df.withColumn(IDX, (F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+    order = [*by, *order]
     placed = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("_m", 33)
     counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy().orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
     low = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("_part", part).join(offsets, "_part").withColumn(IDX, (F.col("_before") + low).cast("long")).drop("_part", "_m", "_before")
+    found = placed.withColumn("_part", part).join(offsets, "_part").withColumn(IDX, (F.col("_before") + low).cast("long")).drop("_part", "_m", "_before")
+    if not by:
+        return found
+    firsts = found.groupBy(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(by)]).agg(F.min(IDX).alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(by)])
+    return found.join(firsts, same).withColumn(IDX, F.col(IDX) - F.col("_first")).drop("_first", *[f"_key_{i}" for i in range(len(by))])
 
 
 def block(size: int = BLOCK) -> Column:
