@@ -66,7 +66,7 @@ def following(rows: DataFrame) -> DataFrame:
     whole = W.partitionBy()  # one row for each range partition
     ahead = edges.select("last", F.coalesce(F.lead("first").over(whole.orderBy("part")), F.min("first").over(whole)).alias("ahead"))
     known = placed.join(F.broadcast(ahead), placed["place"] == ahead["last"], "left").select("row", "quarter", F.coalesce("ahead", F.col("place") + 1).alias("place"))
-    return known.join(placed.select(F.col("row").alias("next_row"), "place"), "place").select("row", "next_row", "quarter")
+    return known.join(placed.select(F.col("row").alias("next_row"), "place").hint("merge"), "place").select("row", "next_row", "quarter")
 
 
 def fingerprints(docs: DataFrame, radius: int = 3, every: int = 50) -> DataFrame:
@@ -84,7 +84,8 @@ def fingerprints(docs: DataFrame, radius: int = 3, every: int = 50) -> DataFrame
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = settle(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("th"), F.length("text").alias("n_chars")))
-    follow = settle(following(rows))
+    # ids compress so well that a file of them looks small enough to broadcast, which in memory it isn't
+    follow = settle(following(rows)).hint("merge")
     texts = rows.select("row", "doc_id", "text")  # the same columns in both joins, so that their shuffle is the same one
     heads = texts.join(follow.select(F.col("next_row").alias("row"), F.col("row").alias("to"), "quarter"), "row").select("to", F.col("doc_id").alias("next_id"), "quarter", F.substr("text", F.lit(1), F.col("quarter")).alias("head"))
     both = texts.join(heads, texts["row"] == heads["to"])
