@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 #: Words are runs of characters other than these: space, and the controls 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a task handles at a time; a longer document is handled alone.
-PIECE_BYTES = 1_000_000
+PIECE_BYTES = 500_000
 #: Bytes of an Arrow batch that Spark gives to a Python worker; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
 

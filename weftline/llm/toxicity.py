@@ -34,6 +34,8 @@ SAMPLE_BYTES = 6_000_000
 #: Bytes of the ordinary dictionary, and of the toxic one by round of training; characters of a segment and of what it must share.
 ORDINARY, TOXIC = 131_072, (16_384, 4_096, 4_096)
 SEGMENT, SHARED = 12, 6
+#: Texts of which training makes windows at a time.
+TOGETHER = 50
 #: Folds by which the score is calibrated.
 FOLDS = 3
 #: Bytes saved from which a window of toxic text, and a word in it, is what the toxic dictionary is trained on again.
@@ -174,8 +176,13 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     share = (y.sum() + 0.5) / (len(y) + 1)
     if min(y.sum(), len(y) - y.sum()) < 5:
         return _constant(share)
-    found, code, of = _windows(*text_buffer(pa.array(texts, pa.string())))
-    every = [found[i] for i in code.tolist()]
+    every: list[bytes] = []
+    each = []
+    for low in range(0, len(texts), TOGETHER):  # the arrays of many texts at once would be many times their size
+        found, code, within = _windows(*text_buffer(pa.array(texts[low : low + TOGETHER], pa.string())))
+        every += [found[i] for i in code.tolist()]
+        each.append(within + low)
+    of = np.concatenate(each)
     fold, label = of % FOLDS, y[of] == 1
 
     def windows(of_class: bool, in_fold: np.ndarray | bool = True) -> list[bytes]:
