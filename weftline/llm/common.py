@@ -26,21 +26,28 @@ _written: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; a local one only where that is unset, as in tests."""
+    """The shared folder that ``spark.checkpoint.dir`` names; where that is unset, a local one if the master is local too."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="weftline-"))
     return "file://" + _own_dir[0]
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, which ``sweep`` deletes."""
+    _written.append(os.path.join(scratch_dir(spark), f"weftline-{uuid.uuid4().hex}"))
+    return _written[-1]
+
+
 def settle(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives the loss of executors."""
     spark = df.sparkSession
-    path = os.path.join(scratch_dir(spark), f"weftline-{uuid.uuid4().hex}")
+    path = scratch_path(spark)
     df.write.options(**options).parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

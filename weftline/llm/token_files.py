@@ -9,7 +9,6 @@ all bit strings of the longest length gives each code's id and length in one loo
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import in_batches, pieces, scratch_dir, settle, text_buffer
+from weftline.llm.common import in_batches, pieces, scratch_path, settle, text_buffer
 from weftline.llm.tokens import Encoder
 
 #: Bits of the longest code, ids between checkpoints, ids of a shard (a longer document is one shard).
@@ -227,6 +226,6 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``docs`` to token files in the shared folder, read them back, and return doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
-    folder = os.path.join(scratch_dir(spark), f"weftline-{uuid.uuid4().hex}")
+    folder = scratch_path(spark)
     write_token_files(docs, folder, path)
     return in_batches(read_token_files(spark, folder), _summed, "doc_id long, start long, n_tokens long, ids_crc32 long")
